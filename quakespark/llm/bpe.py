@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ class TreeBPE:
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
+        sizes = np.array([len(b) for b in self.bytes_of])
+        self.flat, self.sizes, self.starts = np.frombuffer(b"".join(self.bytes_of), np.uint8), sizes, np.cumsum(sizes) - sizes
         self.pieces = regex.compile(pattern).findall
         self.leaf = leaf
         self.stays = functools.lru_cache(60_000)(self._stays)
@@ -101,7 +104,7 @@ class TreeBPE:
         ids: list[int] = []
         for piece in self.pieces(part):
             ids += self.encode_piece(piece.encode())
-        return np.array(ids, "<i4").tobytes()
+        return array("i", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit numbers.
@@ -113,8 +116,28 @@ class TreeBPE:
         first, *rest = text.split(" ")
         return self.at_start[first] + b"".join(map(self.after_space.__getitem__, rest))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids, one after another, and the number of bytes of each id."""
+        sizes = self.sizes[ids]
+        from_start = np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes)
+        return self.flat[from_start + np.arange(len(from_start))], sizes
+
+
+    def encode_texts(self, texts: pa.Array) -> pa.Array:
+        parts = [self.encode(x.as_py() or "") for x in texts]
+        ends = np.cumsum([0, *(len(x) // 4 for x in parts)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+
+    def decode_arrays(self, arrays: pa.Array) -> pa.Array:
+        offsets = arrays.offsets.to_numpy()
+        ids = arrays.values.to_numpy()[offsets[0] : offsets[-1]]
+        out = []
+        for i in range(0, len(arrays), 256):  # bounds the index arrays
+            low, high = offsets[i] - offsets[0], offsets[min(i + 256, len(arrays))] - offsets[0]
+            data, sizes = self.decode(ids[low:high])
+            ends = np.r_[0, np.cumsum(sizes)][offsets[i : i + 257] - offsets[i]].astype(np.int32)
+            out.append(pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
 
 @functools.lru_cache(4)
@@ -128,10 +151,7 @@ def encode(text: Column, rank_file: str, pattern: str) -> Column:
 
     @arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        bpe = tokenizer(rank_file, pattern)
-        parts = [bpe.encode(x or "") for x in texts.to_pylist()]
-        ends = np.cumsum([0, *(len(x) // 4 for x in parts)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+        return tokenizer(rank_file, pattern).encode_texts(texts)
 
     return encoded.asNondeterministic()(text)
 
@@ -141,18 +161,29 @@ def decode(ids: Column, rank_file: str, pattern: str) -> Column:
 
     @arrow_udf("binary")
     def decoded(arrays: pa.Array) -> pa.Array:
-        bpe = tokenizer(rank_file, pattern)
-        return pa.array([bpe.decode(x or ()) for x in arrays.to_pylist()], pa.binary())
+        return tokenizer(rank_file, pattern).decode_arrays(arrays.fill_null([]))
 
     return decoded(ids)
 
 
+def round_trip(text: Column, rank_file: str, pattern: str) -> Column:
+    """struct<ids:array<int>, decoded:binary>: the ids of each text and what they decode to, in one pass through Python."""
+
+    @arrow_udf("ids array<int>, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        bpe = tokenizer(rank_file, pattern)
+        ids = bpe.encode_texts(texts)
+        return pa.StructArray.from_arrays([ids, bpe.decode_arrays(ids)], ["ids", "decoded"])
+
+    return both.asNondeterministic()(text)
+
+
 def token_digests(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: the number of tokens, and the digests of the ids and of the decoded bytes."""
-    ids = docs.select(F.col(doc_id), encode(F.col(text), rank_file, pattern).alias("__ids"))
-    return ids.select(
+    made = docs.select(F.col(doc_id), round_trip(F.col(text), rank_file, pattern).alias("__made"))
+    return made.select(
         doc_id,
-        F.size("__ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("__ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("__ids"), rank_file, pattern), 256).alias("decoded_sha256"),
+        F.size("__made.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("__made.ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("__made.decoded", 256).alias("decoded_sha256"),
     )
