@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,36 +26,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quakespark.llm.common import steps
+from quakespark.llm.memo import Memo
 
 WINDOW = 2048
 END_ID = 1
-MEMO = 200_000
+MEMO = 150_000
 FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordEncoder:
     """Ids of texts as bytes. The tokenizer drops white space and splits there, so runs of text without a
-    space are encoded apart; their ids are kept in a memo of bounded size between batches."""
+    space are encoded apart. A run of Latin letters, perhaps with a full stop or comma, is split, lower-cased
+    and normalised the same way whatever stands around it, so its word goes straight to the merge model; all
+    other runs go through the whole tokenizer. Ids are kept in memos of bounded size between batches."""
 
     def __init__(self, tokenizer_file: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.tails = {x: self._slow([x])[0] for x in ".,"} | {"": b""}
+        # byte-level characters of the model: printable bytes stand for themselves, the rest follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        self.shown = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+        self.word = Memo(self._word, memo)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memo = memo
 
+    def _slow(self, runs: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(runs, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        shown = word.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         runs = [x.replace("\n", " ").split(" ") for x in texts]
-        young, old = self.young, self.old
-        wanted = [x for x in set().union(*runs) if x not in young]
-        fresh = [x for x in wanted if x not in old]
-        young.update((x, old[x]) for x in wanted if x in old)
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                young[x] = np.array(e.ids, "<u4").tobytes()
+        young, old, slow = self.young, self.old, []
+        for x in set().union(*runs):
+            if x in young:
+                continue
+            held = old.get(x)
+            if held is not None:
+                young[x] = held
+                continue
+            word, tail = (x[:-1], x[-1]) if x[-1:] in (".", ",") else (x, "")
+            if word.isalpha() and max(word) <= "\xff":
+                young[x] = self.word[word.lower()] + self.tails[tail]
+            else:
+                slow.append(x)
+        for i in range(0, len(slow), 4096):
+            young.update(zip(slow[i : i + 4096], self._slow(slow[i : i + 4096]), strict=True))
         out = [b"".join(map(young.__getitem__, x)) for x in runs]
         if len(young) > self.memo:
             self.old, self.young = young, {}
