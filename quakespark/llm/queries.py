@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakespark.llm import bpe, licenses, neardup, packing, pii, preference, quality, sharding
+from quakespark.llm import bpe, licenses, neardup, packing, pii, preference, quality, search, sharding, toxicity
 from quakespark.llm.common import table
 
 
@@ -47,6 +47,14 @@ def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op7_attentive_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search_report(table(spark, sf_dir, "documents"))
+
+
 def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
 
@@ -59,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_repetition, op2_license_index, op3_external_shuffle, op4_preference_format, op5_weighted_minhash,
-        op6_bootstrapped_pii, op9_tree_bpe, op10_sum_of_squares,
+        op6_bootstrapped_pii, op7_attentive_gru, op8_block_max_wand, op9_tree_bpe, op10_sum_of_squares,
     )
 }
 

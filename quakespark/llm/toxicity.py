@@ -38,7 +38,7 @@ GRAMS = (3, 5)
 INPUTS = WORD_DIM + GRAM_DIM + 3
 TRAIN_ROWS = 1500
 TRAIN_CHARS = 8000
-ROUNDS = 24
+ROUNDS = 12
 SEED = 3
 ENDS = ".,;:!?#*$%&|<>\"'()[]{}=+-_/\\"
 
@@ -214,12 +214,10 @@ def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, seed: int = SEE
     v = vocabulary(words)
     of = np.repeat(np.arange(len(texts)), counts)
     sizes = np.diff(np.r_[v.starts, len(v.grams)])
-    token_grams = np.concatenate([v.grams[v.starts[c] : v.starts[c] + sizes[c]] for c in np.unique(codes)]) if len(codes) else v.grams
     own = np.unique(of * len(words) + codes)  # each text's distinct words
     word, text = own % len(words), own // len(words)
     spread = np.repeat(np.arange(len(word)), sizes[word])
     inner = np.arange(len(spread)) - np.repeat(np.cumsum(sizes[word]) - sizes[word], sizes[word])
-    del token_grams
     net = Network(
         log_odds(v.words[word], text, y, WORD_SLOTS), log_odds(v.grams[v.starts[word[spread]] + inner], text[spread], y, GRAM_SLOTS), seed
     )
