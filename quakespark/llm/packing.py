@@ -30,7 +30,7 @@ from quakespark.llm.memo import Memo
 
 WINDOW = 2048
 END_ID = 1
-MEMO = 150_000
+MEMO = 300_000
 FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
