@@ -9,15 +9,17 @@ below the threshold.
 
 Texts are collapsed to distinct texts first. Each gets a sketch: in each of HASHES slots, the shingle
 that improved consistent weighted sampling picks; two texts agree in a slot with a probability of
-their weighted Jaccard similarity. BANDS bands of ROWS slots make buckets. In every bucket all texts
-are paired with its leader; the pairs are verified by the exact weighted Jaccard similarity of the
-whole texts, and those of THRESHOLD or more are linked. Texts of one bucket that then are in different
-classes, and whose sketches agree enough, are paired directly and verified as well, so a text need not
-resemble the leader. Classes are the connected components of the links.
-
-At similarity 0.8 two texts share a bucket with probability 0.9998. No group is collected: buckets,
-copies and links are joined and aggregated by Spark, and no more than one pair for each text and
-bucket is made where all are alike.
+their weighted Jaccard similarity. BANDS bands of ROWS slots make buckets. The texts of a bucket are
+sorted by their sketches; each is paired with the first and with those just before it, if their sketches
+agree enough. Pairs are verified by the exact weighted Jaccard similarity of the whole texts, and those of
+THRESHOLD or more are linked. Then, in buckets that hold several classes, each text is compared with more
+of its neighbours of other classes, and the best of each class is verified as well. Classes are the
+connected components of the links.
+
+At similarity 0.8 two texts share a bucket with probability 0.9998, in most cases several. Work and pairs
+grow with the number of texts in buckets, not with the square of a bucket: a text of a very large group
+whose only partner is far from it in the order of every bucket that they share may stay alone; one with
+several partners doesn't. No group is collected; a bucket of any size spreads over tasks.
 
 Defined results: a null text counts as empty; empty texts are copies of each other and of nothing
 else; rows with equal texts share a class, whatever their ids; the class id is the smallest id in the
@@ -45,6 +47,8 @@ DF_SLOTS = 1 << 18
 IDF_STRENGTH = 0.25
 #: Sketches of texts at the threshold agree in fewer slots than this with probability below 0.002.
 LEAST_AGREE = 0.6
+#: Rows before it that a row of a bucket is compared with, at first and between classes.
+LEADS, REACH = 4, 32
 SEED = 7
 
 
@@ -222,6 +226,50 @@ def _links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
     return verified(both.select("a", "b", "text_a", "text_b"), idf, threshold)
 
 
+def _neighbours(members: DataFrame, reach: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts in one bucket whose sketches agree enough.
+
+    members: bucket, key, sketch, component. Rows are range-partitioned and sorted by bucket and sketch, so a
+    large bucket spreads over tasks and texts that agree in more slots stand together. Each row is compared
+    with the bucket's first row in the task and the ``reach`` rows before it; of each other component that
+    passes, the row that agrees best gives the pair.
+    """
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, keys, components = None, [], []
+        held = np.zeros((0, HASHES), np.int32)
+        for batch in batches:
+            sketch = batch.column("sketch").flatten().to_numpy().reshape(-1, HASHES)
+            left, right = [], []
+            for i, (own, key, component) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "component")), strict=True)):
+                if own != bucket:
+                    bucket, keys, components, held = own, [], [], np.zeros((0, HASHES), np.int32)
+                agree = (held == sketch[i]).sum(1)
+                best: dict[str, int] = {}
+                for j in np.flatnonzero(agree >= LEAST_AGREE * HASHES):
+                    if components[j] != component and (components[j] not in best or agree[j] > agree[best[components[j]]]):
+                        best[components[j]] = j
+                left += [min(key, keys[j]) for j in best.values()]
+                right += [max(key, keys[j]) for j in best.values()]
+                drop = 1 if len(keys) > reach else len(keys) + 1  # the first row stays, then the oldest goes
+                keys, components = [*keys[:drop], *keys[drop + 1 :], key], [*components[:drop], *components[drop + 1 :], component]
+                held = np.vstack([held[:drop], held[drop + 1 :], sketch[i : i + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+
+    dealt = members.select("bucket", "key", "sketch", "component").repartitionByRange("bucket", "sketch").sortWithinPartitions("bucket", "sketch", "key")
+    return dealt.mapInArrow(paired, "a string, b string").distinct()
+
+
+def _texts(plain: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, text) of each text that occurs in a pair, once."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(distinct.select("key", F.col("id").alias("least")), "key")
+    return materialise(
+        plain.select(text_key(F.col("text")).alias("key"), "id", "text").join(wanted, "key").where(F.col("id").eqNullSafe(F.col("least")))
+        .dropDuplicates(["key"]).select("key", "text"),
+        "texts",
+    )
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, class_key, class_id) for each distinct text of ``docs``; key is text_key of the text."""
     plain = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -230,33 +278,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     distinct = materialise(drawn.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "sketches")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sketch", k * ROWS + 1, ROWS))))
     banded = distinct.where(F.size("sketch") > 0).select("key", band.alias("bucket"))
-    leaders = banded.groupBy("bucket").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = materialise(banded.join(leaders, "bucket"), "buckets")
-    first = materialise(members.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    wanted = materialise(first.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-    texts = materialise(
-        plain.select(text_key(F.col("text")).alias("key"), "id", "text").join(wanted, "key", "left_semi")
-        .join(distinct.select("key", F.col("id").alias("least")), "key").where(F.col("id").eqNullSafe(F.col("least")))
-        .dropDuplicates(["key"]).select("key", "text"),
-        "texts",
-    )
-    links = materialise(_links(first, texts, idf, threshold), "links")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = materialise(banded.join(shared, "bucket").join(distinct.select("key", "sketch"), "key"), "buckets")
+    first = materialise(_neighbours(members.withColumn("component", F.col("key")), LEADS), "pairs")
+    links = materialise(_links(first, _texts(plain, distinct, first), idf, threshold), "links")
     label = connected_components(links, "a", "b")
-    labelled = (
-        members.select("bucket", "key", "leader").join(label.withColumnRenamed("node", "key"), "key", "left")
-        .withColumn("component", F.coalesce("component", "key"))
-    )
-    # buckets that hold several classes: of each text, the partners of other classes that its sketch resembles
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high and n > 2").select("bucket")
-    open_ = materialise(labelled.join(mixed, "bucket", "left_semi").join(distinct.select("key", "sketch"), "key"), "mixed")
-    left = open_.select("bucket", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("sketch").alias("sa"))
-    right = open_.select("bucket", F.col("key").alias("b"), F.col("component").alias("cb"), F.col("sketch").alias("sb"), "leader")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    second = (
-        left.join(right, ["bucket"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("leader")))
-        .where(agree >= LEAST_AGREE * HASHES).select("a", "b").distinct()
-    )
-    more = materialise(_links(second, texts, idf, threshold), "links")
+    labelled = members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    second = materialise(_neighbours(labelled.join(mixed, "bucket", "left_semi"), REACH).join(first, ["a", "b"], "left_anti"), "pairs")
+    more = materialise(_links(second, _texts(plain, distinct, second), idf, threshold), "links")
     if not more.isEmpty():
         label = connected_components(links.union(more), "a", "b")
     whole = distinct.select("key", "id").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("component", "key"))
