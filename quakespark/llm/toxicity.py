@@ -36,8 +36,8 @@ WORD_SLOTS, GRAM_SLOTS = 1 << 16, 1 << 16
 WORD_DIM, GRAM_DIM = 4, 4
 GRAMS = (3, 5)
 INPUTS = WORD_DIM + GRAM_DIM + 3
-TRAIN_ROWS = 1500
-TRAIN_CHARS = 8000
+TRAIN_ROWS = 1000
+TRAIN_CHARS = 6000
 ROUNDS = 12
 SEED = 3
 ENDS = ".,;:!?#*$%&|<>\"'()[]{}=+-_/\\"
@@ -195,12 +195,24 @@ class Network:
         return out
 
 
-def log_odds(slots: np.ndarray, text: np.ndarray, y: np.ndarray, size: int, least: int = 4) -> np.ndarray:
-    """Smoothed log-odds of label 1 among texts that hold a slot, over the prior; 0 for slots in few texts."""
-    pairs = np.unique(text * size + slots)
-    slot, of = pairs % size, pairs // size
-    positive = np.bincount(slot[y[of] == 1], minlength=size)
-    negative = np.bincount(slot[y[of] == 0], minlength=size)
+def log_odds(v: Vocabulary, own: np.ndarray, y: np.ndarray, grams: bool, least: int = 4) -> np.ndarray:
+    """Smoothed log-odds of label 1 among texts that hold a slot, over the prior; 0 for slots in few texts.
+
+    own: of each text its distinct words, as text * number of words + word, in ascending order.
+    """
+    size = GRAM_SLOTS if grams else WORD_SLOTS
+    found = np.zeros((2, size), np.int64)
+    sizes = np.diff(np.r_[v.starts, len(v.grams)])
+    for part in np.split(own, np.searchsorted(own // len(v.words), np.arange(100, len(y), 100))):
+        text, word = part // len(v.words), part % len(v.words)
+        slot = v.words[word]
+        if grams:
+            n = sizes[word]
+            text, slot = np.repeat(text, n), v.grams[np.repeat(v.starts[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pairs = np.unique(text * size + slot)
+        for label in (0, 1):
+            found[label] += np.bincount(pairs[y[pairs // size] == label] % size, minlength=size)
+    negative, positive = found
     odds = np.log((positive + 0.5) / ((y == 1).sum() + 1)) - np.log((negative + 0.5) / ((y == 0).sum() + 1))
     n = positive + negative
     return np.where(n >= least, np.clip(odds * n / (n + 4), -3, 3), 0)
@@ -213,20 +225,14 @@ def train(texts: list[str], y: np.ndarray, rounds: int = ROUNDS, seed: int = SEE
         return None
     v = vocabulary(words)
     of = np.repeat(np.arange(len(texts)), counts)
-    sizes = np.diff(np.r_[v.starts, len(v.grams)])
-    own = np.unique(of * len(words) + codes)  # each text's distinct words
-    word, text = own % len(words), own // len(words)
-    spread = np.repeat(np.arange(len(word)), sizes[word])
-    inner = np.arange(len(spread)) - np.repeat(np.cumsum(sizes[word]) - sizes[word], sizes[word])
-    net = Network(
-        log_odds(v.words[word], text, y, WORD_SLOTS), log_odds(v.grams[v.starts[word[spread]] + inner], text[spread], y, GRAM_SLOTS), seed
-    )
+    own = np.unique(of * len(words) + codes)
+    net = Network(log_odds(v, own, y, False), log_odds(v, own, y, True), seed)
     rng = np.random.default_rng(seed)
     first, length, of_window = windows(counts)
     at = codes[np.minimum(first[:, None] + np.arange(WINDOW), len(codes) - 1)]
     real = np.arange(WINDOW) < length[:, None]
     x = net.inputs(v)
-    score = np.where(real, x[at, -2] + x[at, -3], -9).max(1)  # at first by the log-odds alone
+    score = np.where(real, (x[:, -2] + x[:, -3])[at], -9).max(1)  # at first by the log-odds alone
     mean, square = ({k: np.zeros_like(a) for k, a in net.p.items()} for _ in (0, 1))
     step = 0
     for turn in range(rounds):
