@@ -48,7 +48,7 @@ IDF_STRENGTH = 0.25
 #: Sketches of texts at the threshold agree in fewer slots than this with probability below 0.002.
 LEAST_AGREE = 0.6
 #: Rows before it that a row of a bucket is compared with, at first and between classes.
-LEADS, REACH = 4, 32
+LEADS, REACH = 2, 8
 SEED = 7
 
 
