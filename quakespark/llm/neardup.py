@@ -9,17 +9,19 @@ below the threshold.
 
 Texts are collapsed to distinct texts first. Each gets a sketch: in each of HASHES slots, the shingle
 that improved consistent weighted sampling picks; two texts agree in a slot with a probability of
-their weighted Jaccard similarity. BANDS bands of ROWS slots make buckets. The texts of a bucket are
-sorted by their sketches; each is paired with the first and with those just before it, if their sketches
-agree enough. Pairs are verified by the exact weighted Jaccard similarity of the whole texts, and those of
-THRESHOLD or more are linked. Then, in buckets that hold several classes, each text is compared with more
-of its neighbours of other classes, and the best of each class is verified as well. Classes are the
-connected components of the links.
-
-At similarity 0.8 two texts share a bucket with probability 0.9998, in most cases several. Work and pairs
-grow with the number of texts in buckets, not with the square of a bucket: a text of a very large group
-whose only partner is far from it in the order of every bucket that they share may stay alone; one with
-several partners doesn't. No group is collected; a bucket of any size spreads over tasks.
+their weighted Jaccard similarity. BANDS bands of ROWS slots make buckets. Two texts that share a bucket and
+agree in LEAST_AGREE of all slots are candidates; a candidate is a link if the exact weighted Jaccard
+similarity of the whole texts is THRESHOLD or more. Classes are the connected components of the links.
+
+Links within a class needn't all be verified, so the candidates are taken in rounds. First, the texts of
+a bucket stand in the order of their sketches, and each is compared with the first and the LEADS before it.
+Then, in buckets that still hold several classes, each text outside the bucket's largest class is compared with
+every text of other classes, and its best candidate of each cell is verified; BEST_ROUNDS times. Last, all candidates
+between different classes that are still unverified are verified, so that no candidate is lost between classes.
+The later rounds deal a bucket into cells of two blocks of about BLOCK texts, so a bucket of any size
+spreads over tasks: their work is the size of a bucket times the number of texts outside its largest class.
+
+At similarity 0.8 two texts share a bucket with probability 0.9998 and are candidates with 0.998.
 
 Defined results: a null text counts as empty; empty texts are copies of each other and of nothing
 else; rows with equal texts share a class, whatever their ids; the class id is the smallest id in the
@@ -47,8 +49,14 @@ DF_SLOTS = 1 << 18
 IDF_STRENGTH = 0.25
 #: Sketches of texts at the threshold agree in fewer slots than this with probability below 0.002.
 LEAST_AGREE = 0.6
-#: Rows before it that a row of a bucket is compared with, at first and between classes.
-LEADS, REACH = 2, 8
+#: Rows before it that a row of a bucket is compared with in the first round; later rounds have no such bound.
+LEADS = 2
+#: Texts of about so many a block are compared with one another in one step of the later rounds.
+BLOCK = 4096
+#: Texts in a chunk, and pairs between two chunks from which on they are verified together.
+CHUNK, DENSE = 512, 2048
+#: Rounds that take the best candidate of each text, before the last takes all.
+BEST_ROUNDS = 3
 SEED = 7
 
 
@@ -217,13 +225,62 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
+def _similar(pairs: pa.Table, texts: pa.Table, idf: np.ndarray, threshold: float) -> pa.Table:
+    """pairs: a, b; texts: key, text, of every text in them. The pairs of similarity ``threshold`` or more."""
+    key = {k: i for i, k in enumerate(texts.column("key").to_pylist())}
+    parts = [shingles(step) for step in steps(texts.column("text").to_pylist())]
+    hashes, counts = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    sizes, at = np.zeros(len(key), np.int64), 0
+    for step, part in zip(steps(texts.column("text").to_pylist()), parts, strict=True):
+        sizes[at : at + len(step)] = np.bincount(part[0], minlength=len(step))
+        at += len(step)
+    w = weights(hashes, counts, idf).astype(np.float64)
+    _, code = np.unique(hashes, return_inverse=True)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    total = np.bincount(np.repeat(np.arange(len(key)), sizes), w, len(key))
+    a = np.array([key[k] for k in pairs.column("a").to_pylist()], np.int64)
+    b = np.array([key[k] for k in pairs.column("b").to_pylist()], np.int64)
+    order = np.argsort(a, kind="stable")
+    cuts = np.r_[0, np.flatnonzero(np.diff(a[order])) + 1, len(a)]
+    dense, keep = np.zeros(code.max(initial=-1) + 1), []
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        own, others = a[order[low]], b[order[low:high]]
+        dense[code[starts[own] : ends[own]]] = w[starts[own] : ends[own]]
+        for k, other in enumerate(others):
+            span = slice(starts[other], ends[other])
+            common = np.minimum(dense[code[span]], w[span]).sum()
+            if common >= threshold * (total[own] + total[other] - common):
+                keep.append(order[low + k])
+        dense[code[starts[own] : ends[own]]] = 0
+    return pairs.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """The verified ones of (a, b); texts: key, text, one row for each text that occurs in a pair or more."""
+    """The verified ones of (a, b); texts: key, text, one row for each text that occurs in a pair or more.
+
+    Texts are dealt by their keys into chunks of about CHUNK. Where DENSE pairs or more lie between two chunks,
+    each text goes there once for all of them; the other pairs get their texts pair by pair.
+    """
+    chunks = max(texts.count() // CHUNK, 1)
+    cell = [F.pmod(F.xxhash64(c), F.lit(chunks)).alias(f"chunk_{c}") for c in ("a", "b")]
+    placed = pairs.select("a", "b", *cell)
+    cells = ["chunk_a", "chunk_b"]
+    dense = materialise(placed.groupBy(*cells).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= DENSE).select(*cells), "cells")
+    few = placed.join(dense, cells, "left_anti").select("a", "b")
     both = (
-        pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+        few.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
         .join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
     )
-    return verified(both.select("a", "b", "text_a", "text_b"), idf, threshold)
+    alone = verified(both.select("a", "b", "text_a", "text_b"), idf, threshold)
+    many = placed.join(dense, cells, "left_semi")
+    needed = many.select(*cells, F.explode(F.array("a", "b")).alias("key")).distinct().join(texts, "key").select(F.col("chunk_a").alias("to_a"), F.col("chunk_b").alias("to_b"), "key", "text")
+    table = pairs.sparkSession.sparkContext.broadcast(idf)
+
+    def checked(key: tuple, some: pa.Table, held: pa.Table) -> pa.Table:
+        return _similar(some, held, table.value, threshold)
+
+    return alone.union(many.groupBy(*cells).cogroup(needed.groupBy("to_a", "to_b")).applyInArrow(checked, "a string, b string"))
 
 
 def _neighbours(members: DataFrame, reach: int) -> DataFrame:
@@ -260,6 +317,85 @@ def _neighbours(members: DataFrame, reach: int) -> DataFrame:
     return dealt.mapInArrow(paired, "a string, b string").distinct()
 
 
+def _cells(labelled: DataFrame) -> DataFrame:
+    """Members of buckets with several classes, dealt into cells (bucket, row block, minor block).
+
+    A minor is a text outside its bucket's largest class. Every member goes to its row block's cells, every
+    minor to its minor block's cells besides, so that each minor meets every member of its bucket once.
+    """
+    classes_in = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")
+    )
+    blocks = classes_in.where("classes > 1").select(
+        "bucket", F.col("top.component").alias("top"), F.ceil(F.col("n") / BLOCK).alias("rows"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("minors")
+    )
+    held = labelled.join(blocks, "bucket")
+    own, columns = F.xxhash64("key"), ["bucket", "row_block", "minor_block", "minor", "key", "component", "sketch"]
+    sides = [
+        held.withColumns({"row_block": F.pmod(own, F.col("rows")), "minor": F.lit(False)})
+        .withColumn("minor_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1))),
+        held.where("component <> top").withColumns({"minor_block": F.pmod(own, F.col("minors")), "minor": F.lit(True)})
+        .withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))),
+    ]
+    return sides[0].select(columns).union(sides[1].select(columns))
+
+
+def _candidates(table: pa.Table, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of one cell: the keys of its candidates, all or the best of each minor."""
+    import pandas as pd
+
+    minor = table.column("minor").to_numpy()
+    if minor.all() or not minor.any():
+        return np.zeros(0, object), np.zeros(0, object)
+    keys = table.column("key").to_numpy()
+    component, _ = pd.factorize(table.column("component").to_numpy())
+    sketch = np.ascontiguousarray(table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, HASHES).T)
+    x, y = np.flatnonzero(minor), np.flatnonzero(~minor)
+    others, width, found = sketch[:, y], max(1, (1 << 20) // len(y)), []
+    for at in range(0, len(x), width):
+        strip = x[at : at + width]
+        agree = np.zeros((len(strip), len(y)), np.uint8)
+        for k in range(HASHES):
+            agree += sketch[k, strip][:, None] == others[k]
+        i, j = np.nonzero((agree >= LEAST_AGREE * HASHES) & (component[strip][:, None] != component[y]))
+        i, j, n = strip[i], y[j], agree[i, j]
+        if not every:
+            order = np.lexsort((-n.astype(np.int64), i))
+            i, j = i[order], j[order]
+            fresh = np.r_[True, i[1:] != i[:-1]][: len(i)]
+            i, j = i[fresh], j[fresh]
+        found.append((keys[i], keys[j]))
+    left, right = (np.concatenate(side) for side in zip(*found, strict=True))
+    swap = left > right
+    return np.where(swap, right, left), np.where(swap, left, right)
+
+
+def _between(labelled: DataFrame, every: bool) -> DataFrame:
+    """Distinct candidates (a, b), a < b, between different classes of one bucket. labelled: bucket, key, sketch, component."""
+    cell = ["bucket", "row_block", "minor_block"]
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def compared(table: pa.Table) -> pa.RecordBatch:
+            left, right = _candidates(table, every)
+            return pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
+
+        for batch in batches:
+            fresh = pa.Table.from_batches([batch])
+            table = fresh if held is None else pa.concat_tables([held, fresh])
+            ids = np.stack([table.column(c).to_numpy() for c in cell])
+            cuts = np.r_[0, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                yield compared(table.slice(start, end - start))
+            held = table.slice(cuts[-1])
+        if held is not None:
+            yield compared(held)
+
+    dealt = _cells(labelled).repartition(*cell).sortWithinPartitions(*cell)
+    return dealt.mapInArrow(paired, "a string, b string").distinct()
+
+
 def _texts(plain: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
     """(key, text) of each text that occurs in a pair, once."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(distinct.select("key", F.col("id").alias("least")), "key")
@@ -283,12 +419,18 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     first = materialise(_neighbours(members.withColumn("component", F.col("key")), LEADS), "pairs")
     links = materialise(_links(first, _texts(plain, distinct, first), idf, threshold), "links")
     label = connected_components(links, "a", "b")
-    labelled = members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    second = materialise(_neighbours(labelled.join(mixed, "bucket", "left_semi"), REACH).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = materialise(_links(second, _texts(plain, distinct, second), idf, threshold), "links")
-    if not more.isEmpty():
-        label = connected_components(links.union(more), "a", "b")
+    seen = first
+    settled = False  # whether the best candidates of the round before gave no link
+    for every in [False] * BEST_ROUNDS + [True]:
+        if settled and not every:
+            continue
+        labelled = members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+        fresh = materialise(_between(labelled, every).join(seen, ["a", "b"], "left_anti"), "pairs")
+        more = materialise(_links(fresh, _texts(plain, distinct, fresh), idf, threshold), "links")
+        seen, links = seen.union(fresh), links.union(more)
+        settled = more.isEmpty()
+        if not settled:
+            label = connected_components(links, "a", "b")
     whole = distinct.select("key", "id").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("component", "key"))
     least = whole.groupBy("class_key").agg(F.min("id").alias("class_id"))
     return materialise(whole.join(least, "class_key").select("key", "class_key", "class_id"), "classes")
