@@ -68,13 +68,13 @@ def write_shards(rows: DataFrame, path: str, shards: int = SHARDS, **options) ->
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    dealt = deal(external_shuffle(docs.select(doc_id, text), text, **options), shards)
-    return dealt.select(
+    digests = external_shuffle(docs.select(doc_id, text), text, **options).select(
         doc_id,
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("text_crc32"),
-        F.lit("rows").alias("law"),
-        "shard",
-        "slot",
-        F.lit(None).cast("int").alias("grown_shard"),
+        "__bucket",
+        "__place",
+    )
+    return deal(digests, shards).select(
+        doc_id, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
