@@ -38,13 +38,17 @@ def weichert(bins: DataFrame, key: str, start: float = 1.5, steps: int = 30) ->
         return F.aggregate("bins", zero, added)
 
     def newton(beta: Column, _: Column) -> Column:
-        one = F.transform(F.array(sums(beta)), lambda s: beta - F.try_divide(s["s1"] / s["s0"] - c("mean"), F.pow(s["s1"] / s["s0"], F.lit(2)) - s["s2"] / s["s0"]))
+        def step(s: Column) -> Column:
+            first = F.try_divide(s["s1"], s["s0"])
+            return beta - F.try_divide(first - c("mean"), first * first - F.try_divide(s["s2"], s["s0"]))
+
+        one = F.transform(F.array(sums(beta)), step)
         return F.element_at(one, 1)
 
     fitted = held.withColumn("beta", F.when(F.size("bins") > 1, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(start), newton)))
     s = sums(c("beta"))
     return fitted.withColumn("s", s).select(
-        key, "n", "beta", (c("beta") / math.log(10)).alias("b"), (c("n") * c("s.s3") / c("s.s0")).alias("rate")
+        key, "n", "beta", (c("beta") / math.log(10)).alias("b"), F.try_divide(c("n") * c("s.s3"), c("s.s0")).alias("rate")
     )
 
 
