@@ -1,22 +1,25 @@
 """Personal data by patterns and bootstrapped contextual extraction.
 
 Base kinds are found by regular expressions and checked (Luhn's rule, digit counts, parts of an
-address). They are the seeds. Every token with several digits is an occurrence of an instance (the
-token) in a lexical pattern (the word before it, the two words before it). Spark scores the bipartite
-graph of patterns and instances in rounds: a pattern's confidence is the mean score of what it
-surrounds, smoothed; an instance that is no seed scores as the noisy-or of its trusted patterns. At
-the end, patterns of high confidence and support mark the tokens that they surround as further
-identifiers (kind "id"), wherever those aren't part of a base span.
-
-Everything is column expressions, joins and aggregations. Pattern and instance counts are summed
-before they are joined, so a frequent word is one row for each instance. A null text counts as empty
-(no spans); equal rows get equal spans; an empty table gives an empty result; the row key is made
-here, so ids may be null or repeat.
+address). They are the seeds: each base span is one occurrence of its whole text, whatever its digits.
+Every other token that isn't letters only (a digit, or an inner sign such as @, a dot or _) is an
+occurrence too. An occurrence's patterns are the word before it and the two words before it, each with the
+kind of the instance (digits and signs, or with letters); letters-only tokens can't
+be found, since no seed has their kind. Spark scores the bipartite graph of patterns and instances in
+rounds: a pattern's confidence is the mean score of what it surrounds, smoothed; an instance that is no
+seed scores as the noisy-or of its trusted patterns. At the end, patterns of high confidence and support
+mark the tokens that they surround as further identifiers (kind "id"), wherever those aren't part of a
+base span.
+
+Everything is column expressions, windows over the tokens of a text, joins and aggregations, linear in
+the tokens. Pattern and instance counts are summed before they are joined, so a frequent word is one row
+for each instance. A null text counts as empty (no spans); equal rows get equal spans; an empty table
+gives an empty result; the row key is made here, so ids may be null or repeat.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakespark.session import materialise
@@ -36,14 +39,15 @@ HINTS = {
     "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){12}"),
     "phone": lambda t: F.contains(t, F.lit("+")),
 }
-#: A run of identifier characters with a digit.
-TOKEN = r"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+@-]*+[0-9])[A-Za-z0-9._%+@-]++"
-LEAST_DIGITS = 4
+#: An email, or letters and digits with signs between them (@, dots, "[at]"), but not letters only. Every digit is in one.
+JOIN = r"(?:[._%+@-]++| ?+[\[({] ?+(?:at|dot) ?+[\])}] ?+)"
+TOKEN = rf"{PATTERNS['email']}|(?<![\p{{L}}\p{{N}}])(?!\p{{L}}++(?!\p{{N}}|{JOIN}[\p{{L}}\p{{N}}]))[\p{{L}}\p{{N}}]++(?:{JOIN}[\p{{L}}\p{{N}}]++)*+"
 ROUNDS = 3
 CONFIDENCE = 0.9
 SUPPORT = 5
 SMOOTHING = 1.0
-SPAN = "array<struct<start:int,end:int,text:string,before:string>>"
+SPAN = "array<struct<start:int,end:int,text:string>>"
+PIECE = "array<struct<skip:int,length:int,instance:bigint,kind:string,tail:string,tail2:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -61,7 +65,6 @@ def matches(text: Column, pattern: str) -> Column:
                 (held["at"] + F.length(x["gap"])).alias("start"),
                 (held["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("end"),
                 x["match"].alias("text"),
-                F.right(x["gap"], F.lit(60)).alias("before"),
             ))).alias("out"),
         ),
         lambda held: held["out"],
@@ -95,22 +98,57 @@ def written(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
 
-def occurrences(text: Column, bases: list[Column]) -> Column:
-    """Tokens with some digits: place, instance, the two patterns around it, and whether it lies in a base span.
+def pieces(text: Column) -> Column:
+    """The text as gaps and tokens in turn (PIECE), with the last word and the last two words of each gap.
 
-    A pattern is the word before (or the two words before) and the token's kind: digits only or mixed.
+    The last gap has no token. A text without tokens has no pieces.
     """
-    kind = lambda m: F.when(m["text"].rlike("[A-Za-z]"), "x").otherwise("9")
-    word = lambda m: F.lower(F.regexp_extract(m["before"], r"(\p{L}++)[^\p{L}]*$", 1))
-    two = lambda m: F.lower(F.regexp_extract(m["before"], r"(\p{L}++[^\p{L}]++\p{L}++)[^\p{L}]*$", 1))
-    touches = lambda m: F.exists(F.concat(*bases), lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
-    tokens = F.filter(matches(text, TOKEN), lambda m: F.length(F.regexp_replace(m["text"], "[^0-9]", "")) >= LEAST_DIGITS)
-    found = F.transform(tokens, lambda m: F.struct(
-        m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(m["text"]).alias("instance"),
-        F.concat_ws("|", F.lit("1"), kind(m), word(m)).alias("near"), F.concat_ws("|", F.lit("2"), kind(m), two(m)).alias("wide"),
-        touches(m).alias("seed"),
-    ))
-    return F.when(text.rlike("[0-9]"), found).otherwise(F.array().cast("array<struct<start:int,end:int,instance:bigint,near:string,wide:string,seed:boolean>>"))
+    word = lambda gap, pattern: F.nullif(F.lower(F.regexp_replace(F.regexp_extract(gap, pattern, 1), r"[^\p{L}]++", " ")), F.lit(""))
+    found = F.transform(
+        F.arrays_zip(F.split(text, TOKEN, -1).alias("gap"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("match")),
+        lambda x: F.struct(
+            F.length(x["gap"]).alias("skip"), F.length(x["match"]).alias("length"), F.xxhash64(x["match"]).alias("instance"), kind_of(x["match"]).alias("kind"),
+            word(x["gap"], r"(?<!\p{L})(\p{L}++)[^\p{L}]*+$").alias("tail"), word(x["gap"], r"(?<!\p{L})(\p{L}++[^\p{L}]++\p{L}++)[^\p{L}]*+$").alias("tail2"),
+        ),
+    )
+    return F.when(text.rlike(TOKEN), found).otherwise(F.array().cast(PIECE))
+
+
+def kind_of(instance: Column) -> Column:
+    return F.when(instance.rlike(r"[\p{L}@]"), "x").otherwise("9")
+
+
+def occurrences(held: DataFrame) -> DataFrame:
+    """Rows __row, start, end, instance, seed, patterns: the base spans, and the tokens that touch none, with a pattern at least.
+
+    A base span has the words before its first token; it can't hold a letter outside its tokens.
+    """
+    row = Window.partitionBy("__row")
+    until = lambda *order: row.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = lambda *order: row.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    tokens = (
+        held.where(F.size("__pieces") > 0).select("__row", F.posexplode("__pieces").alias("at", "p")).select("__row", "at", "p.*")
+        .withColumn("end", F.sum(F.col("skip") + F.coalesce("length", F.lit(0))).over(until("at")).cast("int"))
+        .withColumn("start", F.col("end") - F.col("length"))
+        .withColumn("left", F.struct(F.col("tail").alias("near"), F.col("tail2").alias("wide")))
+        .where("length is not null").select("__row", "start", "end", "instance", "kind", "left", F.lit(False).alias("seed"))
+    )
+    bases = (
+        held.select("__row", F.explode(F.array_distinct(F.concat(*(F.col(f"__{kind}") for kind in PATTERNS)))).alias("b"))
+        .select("__row", "b.start", "b.end", "b.instance", "b.kind", F.lit(None).cast(tokens.schema["left"].dataType).alias("left"), F.lit(True).alias("seed"))
+    )
+    first = F.when(F.col("seed"), F.col("start")).otherwise(F.col("end"))  # a base span comes before the tokens that end after its start
+    items = (
+        tokens.unionByName(bases).withColumn("first", first)
+        .withColumn("reach", F.max(F.when(F.col("seed"), F.col("end"))).over(past("first", "seed")))
+        .withColumn("before", F.last("left", ignorenulls=True).over(past(F.desc("first"), F.desc("seed"))))
+        .where("seed or reach is null or reach <= start")
+        .withColumn("left", F.when(F.col("seed"), F.col("before")).otherwise(F.col("left")))
+    )
+    named = lambda mark, words: F.concat(F.lit(mark), F.col("kind"), F.lit("|"), F.coalesce(words, F.lit("")))
+    return items.select(
+        "__row", "start", "end", "instance", "seed", F.array(named("l1|", F.col("left.near")), named("l2|", F.col("left.wide"))).alias("patterns")
+    )
 
 
 def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -139,19 +177,21 @@ def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float =
 def find(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """``docs`` with __spans: a struct of the spans (start, end) of each base kind, and of ``id``, the discovered ones."""
     value = F.coalesce(F.col(text), F.lit(""))
-    places = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    places = lambda spans: F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["text"]).alias("instance"), kind_of(s["text"]).alias("kind")
+    ))
     based = docs.withColumn("__row", F.monotonically_increasing_id())
     for kind in PATTERNS:
         based = based.withColumn(f"__{kind}", places(base_spans(value, kind)))
-    held = materialise(based.withColumn("__seen", occurrences(value, [F.col(f"__{kind}") for kind in PATTERNS])), "pii")
-    seen = held.where(F.size("__seen") > 0).select("__row", F.explode("__seen").alias("o")).select("__row", "o.*")
-    linked = seen.select(F.explode(F.array("near", "wide")).alias("pattern"), "instance", "seed", "__row", "start", "end")
+    held = materialise(based.withColumn("__pieces", pieces(value)), "pii")
+    seen = materialise(occurrences(held), "occurrences")
+    linked = seen.select(F.explode("patterns").alias("pattern"), "instance", "seed", "__row", "start", "end")
     edges = materialise(linked.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "graph")
     fresh = (
         linked.where("not seed").join(trusted_patterns(edges, **options), "pattern", "left_semi")
         .groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__id"))
     )
-    found = held.drop("__seen").join(fresh, "__row", "left")
+    found = held.drop("__pieces").join(fresh, "__row", "left")
     spans = F.struct(*(F.col(f"__{kind}").alias(kind) for kind in PATTERNS), F.coalesce("__id", F.array().cast("array<struct<start:int,end:int>>")).alias("id"))
     return found.withColumn("__spans", spans).drop("__row", "__id", *(f"__{kind}" for kind in PATTERNS))
 

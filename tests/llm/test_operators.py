@@ -107,6 +107,22 @@ def test_pii_discovers(spark):
     assert any("id:" in r["spans"] for r in found)
 
 
+def id_texts(found, texts):
+    """The texts of the discovered spans by row."""
+    out = {}
+    for r in found.collect():
+        ids = [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("id:")]
+        out[r["doc_id"]] = [texts[r["doc_id"]][a:b] for a, b in ids]
+    return out
+
+
+def test_pii_seeds_without_digits(spark):
+    texts = [f"please mailto {'abcdefghijklmnopqrst'[i]}@mail.example.com" for i in range(20)]
+    texts += ["please mailto jo_doe", "please mailto jane [at] mail [dot] org", "please mailto q.r7", "this well-known e.g. state-of-the-art 12"]
+    got = id_texts(pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), confidence=0.8), texts)
+    assert [got[i] for i in range(20, 24)] == [["jo_doe"], ["jane [at] mail [dot] org"], ["q.r7"], []] and not any(got[i] for i in range(20))
+
+
 def test_near_duplicates_brute(spark):
     rng = random.Random(1)
     base = [[f"t{rng.randrange(4000)}" for _ in range(rng.randrange(30, 200))] for _ in range(40)]
