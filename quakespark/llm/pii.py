@@ -3,9 +3,10 @@
 Base kinds are found by regular expressions and checked (Luhn's rule, digit counts, parts of an
 address). They are the seeds: each base span is one occurrence of its whole text, whatever its digits.
 Every other token that isn't letters only (a digit, or an inner sign such as @, a dot or _) is an
-occurrence too. An occurrence's patterns are the word before it and the two words before it, each with the
-kind of the instance (digits and signs, or with letters); letters-only tokens can't
-be found, since no seed has their kind. Spark scores the bipartite graph of patterns and instances in
+occurrence too. An occurrence's patterns are the nearest word and the nearest two words before and after it
+(across other occurrences, at any distance), each with the kind of the instance (digits and signs, or
+with letters); letters-only tokens can't be found, since no seed has their kind. Where no word is, there
+is no pattern. Spark scores the bipartite graph of patterns and instances in
 rounds: a pattern's confidence is the mean score of what it surrounds, smoothed; an instance that is no
 seed scores as the noisy-or of its trusted patterns. At the end, patterns of high confidence and support
 mark the tokens that they surround as further identifiers (kind "id"), wherever those aren't part of a
@@ -47,7 +48,7 @@ CONFIDENCE = 0.9
 SUPPORT = 5
 SMOOTHING = 1.0
 SPAN = "array<struct<start:int,end:int,text:string>>"
-PIECE = "array<struct<skip:int,length:int,instance:bigint,kind:string,tail:string,tail2:string>>"
+PIECE = "array<struct<skip:int,length:int,instance:bigint,kind:string,tail:string,tail2:string,head:string,head2:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -99,7 +100,7 @@ def written(kind: str, spans: Column) -> Column:
 
 
 def pieces(text: Column) -> Column:
-    """The text as gaps and tokens in turn (PIECE), with the last word and the last two words of each gap.
+    """The text as gaps and tokens in turn (PIECE), with the last and first words, and two words, of each gap.
 
     The last gap has no token. A text without tokens has no pieces.
     """
@@ -109,6 +110,7 @@ def pieces(text: Column) -> Column:
         lambda x: F.struct(
             F.length(x["gap"]).alias("skip"), F.length(x["match"]).alias("length"), F.xxhash64(x["match"]).alias("instance"), kind_of(x["match"]).alias("kind"),
             word(x["gap"], r"(?<!\p{L})(\p{L}++)[^\p{L}]*+$").alias("tail"), word(x["gap"], r"(?<!\p{L})(\p{L}++[^\p{L}]++\p{L}++)[^\p{L}]*+$").alias("tail2"),
+            word(x["gap"], r"^[^\p{L}]*+(\p{L}++)").alias("head"), word(x["gap"], r"^[^\p{L}]*+(\p{L}++[^\p{L}]++\p{L}++)").alias("head2"),
         ),
     )
     return F.when(text.rlike(TOKEN), found).otherwise(F.array().cast(PIECE))
@@ -121,34 +123,40 @@ def kind_of(instance: Column) -> Column:
 def occurrences(held: DataFrame) -> DataFrame:
     """Rows __row, start, end, instance, seed, patterns: the base spans, and the tokens that touch none, with a pattern at least.
 
-    A base span has the words before its first token; it can't hold a letter outside its tokens.
+    A base span has the words before its first token and after its last; it can't hold a letter outside its tokens.
     """
-    row = Window.partitionBy("__row")
+    row, none = Window.partitionBy("__row"), F.struct(F.lit(None).cast("string").alias("near"), F.lit(None).cast("string").alias("wide"))
+    last = lambda c: F.last(c, ignorenulls=True)
     until = lambda *order: row.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     past = lambda *order: row.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     tokens = (
         held.where(F.size("__pieces") > 0).select("__row", F.posexplode("__pieces").alias("at", "p")).select("__row", "at", "p.*")
         .withColumn("end", F.sum(F.col("skip") + F.coalesce("length", F.lit(0))).over(until("at")).cast("int"))
         .withColumn("start", F.col("end") - F.col("length"))
-        .withColumn("left", F.struct(F.col("tail").alias("near"), F.col("tail2").alias("wide")))
-        .where("length is not null").select("__row", "start", "end", "instance", "kind", "left", F.lit(False).alias("seed"))
+        .withColumn("tail2", F.coalesce("tail2", F.concat(last("tail").over(past("at")), F.lit(" "), F.col("tail"))))
+        .withColumn("head2", F.coalesce("head2", F.concat(F.col("head"), F.lit(" "), last("head").over(past(F.desc("at"))))))
+        .withColumn("left", last(F.when(F.col("tail").isNotNull(), F.struct(F.col("tail").alias("near"), F.col("tail2").alias("wide")))).over(until("at")))
+        .withColumn("right", last(F.when(F.col("head").isNotNull(), F.struct(F.col("head").alias("near"), F.col("head2").alias("wide")))).over(past(F.desc("at"))))
+        .where("length is not null").select("__row", "start", "end", "instance", "kind", *(F.coalesce(side, none).alias(side) for side in ("left", "right")), F.lit(False).alias("seed"))
     )
     bases = (
         held.select("__row", F.explode(F.array_distinct(F.concat(*(F.col(f"__{kind}") for kind in PATTERNS)))).alias("b"))
-        .select("__row", "b.start", "b.end", "b.instance", "b.kind", F.lit(None).cast(tokens.schema["left"].dataType).alias("left"), F.lit(True).alias("seed"))
+        .select("__row", "b.start", "b.end", "b.instance", "b.kind", *(F.lit(None).cast(tokens.schema[side].dataType).alias(side) for side in ("left", "right")), F.lit(True).alias("seed"))
     )
-    first = F.when(F.col("seed"), F.col("start")).otherwise(F.col("end"))  # a base span comes before the tokens that end after its start
+    # By "first" a base span comes before the tokens that end after its start, by "final" after those that start before its end.
+    first, final = F.when(F.col("seed"), F.col("start")).otherwise(F.col("end")), F.when(F.col("seed"), F.col("end")).otherwise(F.col("start"))
     items = (
-        tokens.unionByName(bases).withColumn("first", first)
+        tokens.unionByName(bases).withColumn("first", first).withColumn("final", final)
         .withColumn("reach", F.max(F.when(F.col("seed"), F.col("end"))).over(past("first", "seed")))
-        .withColumn("before", F.last("left", ignorenulls=True).over(past(F.desc("first"), F.desc("seed"))))
+        .withColumn("left", F.coalesce("left", last("left").over(past(F.desc("first"), F.desc("seed")))))
+        .withColumn("right", F.coalesce("right", last("right").over(past("final", F.desc("seed")))))
         .where("seed or reach is null or reach <= start")
-        .withColumn("left", F.when(F.col("seed"), F.col("before")).otherwise(F.col("left")))
-    )
-    named = lambda mark, words: F.concat(F.lit(mark), F.col("kind"), F.lit("|"), F.coalesce(words, F.lit("")))
-    return items.select(
-        "__row", "start", "end", "instance", "seed", F.array(named("l1|", F.col("left.near")), named("l2|", F.col("left.wide"))).alias("patterns")
     )
+    marked = lambda mark, words: F.concat(F.lit(mark), F.col("kind"), F.lit("|"), words)
+    patterns = F.array_compact(F.array(
+        marked("l1|", F.col("left.near")), marked("l2|", F.col("left.wide")), marked("r1|", F.col("right.near")), marked("r2|", F.col("right.wide"))
+    ))
+    return items.select("__row", "start", "end", "instance", "seed", patterns.alias("patterns")).where(F.size("patterns") > 0)
 
 
 def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:

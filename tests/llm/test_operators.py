@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quakespark.llm import bpe, licenses, neardup, packing, pii, preference, quality, search, sharding, toxicity
@@ -123,6 +124,29 @@ def test_pii_seeds_without_digits(spark):
     assert [got[i] for i in range(20, 24)] == [["jo_doe"], ["jane [at] mail [dot] org"], ["q.r7"], []] and not any(got[i] for i in range(20))
 
 
+def test_pii_lexical_cues(spark):
+    texts = [f"nota kunde +1 (0{i}) 555-77{i} ruft an" for i in range(10, 30)]  # the cue is across the phone's own signs
+    texts += [f"1{i}.55.66.{i} addressed host" for i in range(10, 30)]  # at the text's start, the cue behind
+    texts += ["nota kunde 7788-12 da", "12 90-77 addressed host", "1000 2000 3000 4000 5000", "4000 and 5000", "kunde ohne 5"]
+    got = id_texts(pii.pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), confidence=0.8), texts)
+    assert [got[i] for i in range(40, 45)] == [["7788-12"], ["12", "90-77"], [], [], []] and not any(got[i] for i in range(40))
+
+
+def test_pii_patterns(spark):
+    text = "12 Uno dos a1 3.4 tres. x@y.de (+1 (017) 555-7713) vier 5 fünf sechs"
+    seen = pii.occurrences(spark.createDataFrame([(0, text)], "__row long, t string").select(
+        "__row", *(pii.base_spans(F.col("t"), k).alias(f"_{k}") for k in pii.PATTERNS), pii.pieces(F.col("t")).alias("__pieces")
+    ).select("__row", "__pieces", *(F.transform(f"_{k}", lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["text"]).alias("instance"), pii.kind_of(s["text"]).alias("kind")
+    )).alias(f"__{k}") for k in pii.PATTERNS)))
+    got = {text[r["start"] : r["end"]]: (r["seed"], [p.split("|", 2)[0] + " " + p.split("|", 2)[2] for p in r["patterns"]]) for r in seen.collect()}
+    assert got == {
+        "12": (False, ["r1 uno", "r2 uno dos"]), "a1": (False, ["l1 dos", "l2 uno dos", "r1 tres", "r2 tres vier"]), "3.4": (False, ["l1 dos", "l2 uno dos", "r1 tres", "r2 tres vier"]),
+        "x@y.de": (True, ["l1 tres", "l2 dos tres", "r1 vier", "r2 vier fünf"]), "+1 (017) 555-7713": (True, ["l1 tres", "l2 dos tres", "r1 vier", "r2 vier fünf"]),
+        "5": (False, ["l1 vier", "l2 tres vier", "r1 fünf", "r2 fünf sechs"]),
+    }
+
+
 def test_near_duplicates_brute(spark):
     rng = random.Random(1)
     base = [[f"t{rng.randrange(4000)}" for _ in range(rng.randrange(30, 200))] for _ in range(40)]
