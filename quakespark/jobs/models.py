@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quakespark.functions import columns as K
@@ -118,6 +118,36 @@ def w05_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, f"SELECT cls, decade, last(CASE WHEN n % 2 = 0 THEN n END, true) OVER (PARTITION BY cls ORDER BY decade) AS filled FROM {DECADES} x")
 
 
+def a04_density_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared SQL's result; the bounds of each class are aggregated and joined, so no class is sorted in one task."""
+    cat = load_catalog(spark, sf_dir).select("cls", "depth")
+    bounds = cat.groupBy(F.col("cls").alias("own")).agg(F.min("depth").alias("low"), F.max("depth").alias("high"), F.count(F.lit(1)).alias("total"))
+    at = F.least(F.floor((F.col("depth") - F.col("low")) / (F.col("high") - F.col("low")) * 20), F.lit(19)).cast("bigint")
+    counted = cat.join(F.broadcast(bounds), F.col("cls").eqNullSafe(F.col("own"))).select("cls", at.alias("bin"), "total", ((F.col("high") - F.col("low")) / 20).alias("width"))
+    return counted.groupBy("cls", "bin").agg(F.round(F.count(F.lit(1)) / (F.max("total") * F.max("width")), 9).alias("density"))
+
+
+def a12_plane_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared SQL's result; events are counted by plane before their number is summed."""
+    planes = load_catalog(spark, sf_dir).groupBy((F.col("id") % 36 * 10).cast("bigint").alias("strike"), (30 + F.col("id") % 4 * 15).cast("bigint").alias("dip")).agg(F.count(F.lit(1)).alias("n"))
+    return planes.crossJoin(F.broadcast(planes.agg(F.sum("n").alias("total")))).select("strike", "dip", F.round(F.col("n") / F.col("total"), 9).alias("p"))
+
+
+def w07_duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared SQL's result; a place's rank is the number of places at lesser longitudes and its rank at its own, joined back."""
+    cat = load_catalog(spark, sf_dir).select("id", "cls", "lon", "lat", "t")
+    places = cat.select("lon", "lat").distinct()
+    lesser = Window.orderBy("lon").rowsBetween(Window.unboundedPreceding, -1)  # one row a longitude
+    before = places.groupBy("lon").agg(F.count(F.lit(1)).alias("here")).select(F.col("lon").alias("lon0"), F.coalesce(F.sum("here").over(lesser), F.lit(0)).alias("before"))
+    ranked = places.join(before, F.col("lon").eqNullSafe(F.col("lon0"))).select(
+        F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), (F.col("before") + F.row_number().over(Window.partitionBy("lon").orderBy("lat"))).alias("rank")
+    )
+    k = F.row_number().over(Window.partitionBy("lon", "lat", "cls").orderBy("t", "id"))
+    numbered = cat.withColumn("k", k).join(ranked, F.col("lon").eqNullSafe(F.col("lon1")) & F.col("lat").eqNullSafe(F.col("lat1")))
+    suffix = F.when(F.col("k") > 1, F.concat(F.lit("-"), F.col("k").cast("string"))).otherwise(F.lit(""))
+    return numbered.select("id", F.concat(F.col("rank").cast("string"), F.lit("_"), "cls", suffix).alias("label"))
+
+
 def w08_kth_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = load_catalog(spark, sf_dir).groupBy("lon", "lat").agg(F.min("id").alias("pid"))
     return smoothing.kth_neighbour(places, 15)
@@ -196,6 +226,7 @@ def _named(*found: Callable) -> dict[str, Callable[[SparkSession, str], DataFram
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _shared(v) for k, v in SHARED.items()} | _named(
+    a04_density_histogram, a12_plane_collapse, w07_duplicate_labels,
     p13_long_bins, w05_forward_fill, w08_kth_neighbour, m04_kernel_field, r04_weichert, r07_bootstrap_b, m12_balanced_rates, m18_joint_likelihood,
     m21_number_test, h01_hazard_map, h02_branch_statistics, h05_map_difference, h06_spectrum, f16_principal_axes,
 )

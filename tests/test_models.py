@@ -1,6 +1,7 @@
 """Model queries against their SQL; resampling, mechanisms and Poisson terms against plain computations."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -26,6 +27,14 @@ def test_against_sql(spark, name):
     assert rows(models.QUERIES[name](spark, FOLDER).toPandas()) == rows(con.sql(models.ORACLES[name]).df())
 
 
+@pytest.mark.parametrize("name", ["a04_density_histogram", "a12_plane_collapse", "w07_duplicate_labels"])
+def test_no_window_over_the_whole_catalog(spark, name):
+    """No window by class, or over all events; those that are left are by place, or over one row a longitude."""
+    plan = models.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if re.match(r"[\s:+-]*Window ", x)]
+    assert "dense_rank" not in plan and len(windows) == (3 if name.startswith("w07") else 0)
+
+
 def test_bootstrap_spread(spark):
     bins = [("a", 4.05 + k / 10, round(4000 * 10 ** (-k / 10))) for k in range(40)]
     got = rates.bootstrap_b(spark.createDataFrame(bins, "cls string, m double, n long"), "cls", 4.0, 300).first()
