@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quakespark.session import materialise
+from quakespark.session import discard, materialise
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = materialise(ends.union(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    spent = labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
     for _ in range(max_rounds):
         heard = (
             both.join(labels.select(F.col("node").alias("b"), "label"), "b")
@@ -32,7 +32,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             nearer.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")),
             "labels",
         )
-        labels = new.select("node", "label")
-        if new.where("old <> label").isEmpty():
+        settled = new.where("old <> label").isEmpty()
+        discard(spent)
+        labels, spent = new.select("node", "label"), new
+        if settled:
+            discard(both)
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -24,14 +24,15 @@ def build_session(app_name: str = "quakespark", master: str | None = None, shuff
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a
-    temporary folder takes its place.
+    Only in local mode a temporary folder may take its place; on a cluster executors would not see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     held = getattr(spark.sparkContext, "_quakespark_shared", None)
     if held is None:
         held = "file://" + tempfile.mkdtemp(prefix="quakespark-")
@@ -44,4 +45,23 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held.written_to = path
+    return held
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote for these frames, once nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "written_to", None)
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def free_name(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no column of the frames has it, in any case of letters."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
