@@ -25,15 +25,16 @@ def ascii_words(text: str) -> list[str]:
 
 
 def steps(texts: Iterable[str | None], most: int = STEP_CHARS) -> Iterator[list[str]]:
-    """Runs of texts of about ``most`` characters; null becomes the empty text."""
+    """Runs of texts of about ``most`` characters, an empty text counting as one; null becomes the empty text."""
     held, chars = [], 0
     for x in texts:
         x = "" if x is None else x
-        if held and chars + len(x) > most:
+        size = max(len(x), 1)
+        if held and chars + size > most:
             yield held
             held, chars = [], 0
         held.append(x)
-        chars += len(x)
+        chars += size
     if held:
         yield held
 

@@ -13,13 +13,16 @@ their weighted Jaccard similarity. BANDS bands of ROWS slots make buckets. Two t
 agree in LEAST_AGREE of all slots are candidates; a candidate is a link if the exact weighted Jaccard
 similarity of the whole texts is THRESHOLD or more. Classes are the connected components of the links.
 
-Links within a class needn't all be verified, so the candidates are taken in rounds. First, the texts of
+Links within a class needn't all be verified, so the candidates are taken in two rounds. First, the texts of
 a bucket stand in the order of their sketches, and each is compared with the first and the LEADS before it.
-Then, in buckets that still hold several classes, each text outside the bucket's largest class is compared with
-every text of other classes, and its best candidate of each cell is verified; BEST_ROUNDS times. Last, all candidates
-between different classes that are still unverified are verified, so that no candidate is lost between classes.
-The later rounds deal a bucket into cells of two blocks of about BLOCK texts, so a bucket of any size
-spreads over tasks: their work is the size of a bucket times the number of texts outside its largest class.
+Then all candidates between different classes are verified, so that no link between classes is lost. In a bucket
+of at most SMALL texts, each text outside its largest class meets every other one. A larger bucket is split by rare
+shingles first: with texts x and y of weights |x| <= |y| and similarity t or more, the common weight is at
+least 2t / (1 + t) |x| and t |y|; so, with all shingles in one fixed order, rare ones first, their first
+common shingle lies within the head of each text beyond which less than that weight is left. Texts
+that share no shingle of their heads are thus no link, and are never compared. Texts whose shingles that no other
+text of large buckets holds leave too little weight drop out before. What still meets is dealt into cells of two
+blocks of about BLOCK texts, and is a candidate only if weights and sketches allow the similarity.
 
 At similarity 0.8 two texts share a bucket with probability 0.9998 and are candidates with 0.998.
 
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quakespark.llm.common import mix64, steps, word_codes
 from quakespark.operators.graph import connected_components
-from quakespark.session import materialise
+from quakespark.session import discard, free_name, materialise
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -49,15 +52,23 @@ DF_SLOTS = 1 << 18
 IDF_STRENGTH = 0.25
 #: Sketches of texts at the threshold agree in fewer slots than this with probability below 0.002.
 LEAST_AGREE = 0.6
-#: Rows before it that a row of a bucket is compared with in the first round; later rounds have no such bound.
+#: Rows before it that a row of a bucket is compared with in the first round; the second has no such bound.
 LEADS = 2
-#: Texts of about so many a block are compared with one another in one step of the later rounds.
-BLOCK = 4096
+#: Texts of about so many a block are compared with one another in one step of the second round.
+BLOCK = 1024
+#: Texts of a bucket from which on it is split by rare shingles.
+SMALL = 64
+#: Counters of the shingles in large buckets, one byte each, and parts in which they are summed.
+RARE_SLOTS, RARE_PARTS = 1 << 22, 64
 #: Texts in a chunk, and pairs between two chunks from which on they are verified together.
 CHUNK, DENSE = 512, 2048
-#: Rounds that take the best candidate of each text, before the last takes all.
-BEST_ROUNDS = 3
+#: Bins of a profile, in which the weights of a text's shingles are summed.
+PROFILE = 256
+#: Sums of weights may differ by this in the last places.
+SLACK = 1e-6
 SEED = 7
+#: Bits of a shingle's hash; the rest of 64 number the texts of a step, of which there are at most STEP_CHARS.
+HASH_BITS = 44
 
 
 def word_hashes(words: np.ndarray) -> np.ndarray:
@@ -82,11 +93,12 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         inside = left > k
         full[inside] = mix64(full[inside] * np.uint64(0x9E3779B97F4A7C15) + h[np.arange(n)[inside] + k])
     starts = (left >= SHINGLE) | ((counts[text] < SHINGLE) & (left == counts[text]))
-    text, full = text[starts], full[starts]
-    order = np.lexsort((full, text))
-    text, full = text[order], full[order]
-    fresh = np.flatnonzero(np.r_[True, (full[1:] != full[:-1]) | (text[1:] != text[:-1])])
-    return text[fresh], full[fresh], np.diff(np.r_[fresh, len(full)])
+    # text and hash in one number, so that one sort brings equal ones together
+    key = (text[starts].astype(np.uint64) << np.uint64(HASH_BITS)) | (full[starts] >> np.uint64(64 - HASH_BITS))
+    key.sort()
+    fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    found = key[fresh]
+    return (found >> np.uint64(HASH_BITS)).astype(np.int64), found & np.uint64((1 << HASH_BITS) - 1), np.diff(np.r_[fresh, len(key)])
 
 
 def slots_of(hashes: np.ndarray) -> np.ndarray:
@@ -167,23 +179,26 @@ class Sampler:
 
 
 def sketches(docs: DataFrame, text: str, idf: np.ndarray) -> DataFrame:
-    """``docs`` (of the columns it has) with ``sketch``, an array<int> of HASHES slots; empty for texts without words."""
+    """``docs`` (of the columns it has) with ``drawn``: the sketch, an array<int> of HASHES slots (empty for texts
+    without words), and the mass, the sum of the weights."""
     table = docs.sparkSession.sparkContext.broadcast(idf)
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<sketch:array<int>,mass:double>")
     def sketched(batch: pa.Array) -> pa.Array:
-        sampler, parts, lengths = Sampler(), [], []
+        sampler, parts, lengths, masses = Sampler(), [], [], []
         for texts in steps(batch.to_pylist()):
             own, hashes, counts = shingles(texts)
-            n = np.bincount(own, minlength=len(texts))
+            n, w = np.bincount(own, minlength=len(texts)), weights(hashes, counts, table.value)
             has = n > 0
             if has.any():
-                parts.append(sampler.sketch(hashes, weights(hashes, counts, table.value), np.cumsum(n[has])).view(np.int32).ravel())
+                parts.append(sampler.sketch(hashes, w, np.cumsum(n[has])).view(np.int32).ravel())
             lengths.append(np.where(has, HASHES, 0))
+            masses.append(np.bincount(own, w, len(texts)))
         ends = np.r_[0, np.cumsum(np.concatenate(lengths))] if lengths else np.zeros(1, np.int64)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        sketch = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32)))
+        return pa.StructArray.from_arrays([sketch, pa.array(np.concatenate(masses) if masses else np.zeros(0))], ["sketch", "mass"])
 
-    return docs.withColumn("sketch", sketched.asNondeterministic()(F.col(text)))
+    return docs.withColumn("drawn", sketched.asNondeterministic()(F.col(text)))
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -283,10 +298,10 @@ def _links(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float
     return alone.union(many.groupBy(*cells).cogroup(needed.groupBy("to_a", "to_b")).applyInArrow(checked, "a string, b string"))
 
 
-def _neighbours(members: DataFrame, reach: int) -> DataFrame:
+def _neighbours(members: DataFrame, reach: int, threshold: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of texts in one bucket whose sketches agree enough.
 
-    members: bucket, key, sketch, component. Rows are range-partitioned and sorted by bucket and sketch, so a
+    members: bucket, key, sketch, mass, component. Rows are range-partitioned and sorted by bucket and sketch, so a
     large bucket spreads over tasks and texts that agree in more slots stand together. Each row is compared
     with the bucket's first row in the task and the ``reach`` rows before it; of each other component that
     passes, the row that agrees best gives the pair.
@@ -294,14 +309,15 @@ def _neighbours(members: DataFrame, reach: int) -> DataFrame:
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, keys, components = None, [], []
-        held = np.zeros((0, HASHES), np.int32)
+        held, masses = np.zeros((0, HASHES), np.int32), np.zeros(0)
         for batch in batches:
+            mass = batch.column("mass").to_numpy()
             sketch = batch.column("sketch").flatten().to_numpy().reshape(-1, HASHES)
             left, right = [], []
             for i, (own, key, component) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "component")), strict=True)):
                 if own != bucket:
-                    bucket, keys, components, held = own, [], [], np.zeros((0, HASHES), np.int32)
-                agree = (held == sketch[i]).sum(1)
+                    bucket, keys, components, held, masses = own, [], [], np.zeros((0, HASHES), np.int32), np.zeros(0)
+                agree = (held == sketch[i]).sum(1) * (np.minimum(masses, mass[i]) >= threshold * np.maximum(masses, mass[i]) - SLACK)
                 best: dict[str, int] = {}
                 for j in np.flatnonzero(agree >= LEAST_AGREE * HASHES):
                     if components[j] != component and (components[j] not in best or agree[j] > agree[best[components[j]]]):
@@ -310,44 +326,143 @@ def _neighbours(members: DataFrame, reach: int) -> DataFrame:
                 right += [max(key, keys[j]) for j in best.values()]
                 drop = 1 if len(keys) > reach else len(keys) + 1  # the first row stays, then the oldest goes
                 keys, components = [*keys[:drop], *keys[drop + 1 :], key], [*components[:drop], *components[drop + 1 :], component]
-                held = np.vstack([held[:drop], held[drop + 1 :], sketch[i : i + 1]])
+                held, masses = np.vstack([held[:drop], held[drop + 1 :], sketch[i : i + 1]]), np.r_[masses[:drop], masses[drop + 1 :], mass[i]]
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
 
-    dealt = members.select("bucket", "key", "sketch", "component").repartitionByRange("bucket", "sketch").sortWithinPartitions("bucket", "sketch", "key")
+    dealt = members.select("bucket", "key", "sketch", "mass", "component").repartitionByRange("bucket", "sketch").sortWithinPartitions("bucket", "sketch", "key")
     return dealt.mapInArrow(paired, "a string, b string").distinct()
 
 
+def _rare_counts(texts: DataFrame) -> np.ndarray:
+    """For each of RARE_SLOTS slots of shingle hashes, the texts that hold one of them, at most 255 (uint8)."""
+    width = RARE_SLOTS // RARE_PARTS
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(RARE_SLOTS, np.int32)
+        for b in batches:
+            for part in steps(b.column(0).to_pylist()):
+                np.add.at(counts, _rare_slots(shingles(part)[1]), 1)
+        used = np.flatnonzero(counts)
+        cuts = np.searchsorted(used, np.arange(0, RARE_SLOTS + 1, width))
+        lists = [pa.array([x[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.list_(pa.int32())) for x in (used % width, np.minimum(counts[used], 255))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(RARE_PARTS), pa.int32()), *lists], names=["part", "slots", "counts"])
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        slots, counts = (np.concatenate([x.values.to_numpy() for x in table.column(c)]) for c in ("slots", "counts"))
+        total = np.minimum(np.bincount(slots, counts, width), 255).astype(np.uint8)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "total": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((RARE_PARTS, width), np.uint8)
+    for r in texts.select("text").mapInArrow(counted, "part int, slots array<int>, counts array<int>").groupBy("part").applyInArrow(summed, "part int, total binary").collect():
+        out[r["part"]] = np.frombuffer(r["total"], np.uint8)
+    return out.ravel()
+
+
+def _rare_slots(hashes: np.ndarray) -> np.ndarray:
+    return (mix64(hashes) >> np.uint64(64 - RARE_SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _heads(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(bucket, key, light): the rare shingles of each text by which it can meet others; texts: key, text.
+
+    ``light`` tells whether the shingle also lies in the shorter head, in which the lighter text of a link has it.
+    """
+    tables = texts.sparkSession.sparkContext.broadcast((idf, _rare_counts(texts)))
+    lighter = 2 * threshold / (1 + threshold)
+
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, rare = tables.value
+        for batch in batches:
+            at = 0
+            for part in steps(batch.column("text").to_pylist()):
+                own, hashes, counts = shingles(part)
+                w = weights(hashes, counts, idf).astype(np.float64)
+                n = rare[_rare_slots(hashes)]
+                order = np.lexsort((hashes, n, own))
+                own, hashes, w, n = own[order], hashes[order], w[order], n[order]
+                total = np.bincount(own, w, len(part))
+                shared = np.bincount(own, w * (n > 1), len(part))
+                left = total[own] - (np.cumsum(w) - w - (np.cumsum(total) - total)[own])  # weight from here on
+                left = np.where(shared[own] >= threshold * total[own] * (1 - SLACK), left, -1)
+                # what no other text holds is in no common weight; what is left of the head is shared
+                keep = (left >= threshold * total[own] * (1 - SLACK)) & (n > 1)
+                light = (left >= lighter * total[own] * (1 - SLACK)) & (shared[own] >= lighter * total[own] * (1 - SLACK))
+                keys = batch.column("key").take(pa.array(own[keep] + at))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].astype(np.int64)), keys, pa.array(light[keep])], names=["bucket", "key", "light"])
+                at += len(part)
+
+    return texts.select("key", "text").mapInArrow(headed, "bucket long, key string, light boolean")
+
+
 def _cells(labelled: DataFrame) -> DataFrame:
     """Members of buckets with several classes, dealt into cells (bucket, row block, minor block).
 
     A minor is a text outside its bucket's largest class. Every member goes to its row block's cells, every
     minor to its minor block's cells besides, so that each minor meets every member of its bucket once.
     """
-    classes_in = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(
-        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")
+    classes_in = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.max("light").alias("light")).groupBy("bucket").agg(
+        F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), F.max("light").alias("light")
     )
-    blocks = classes_in.where("classes > 1").select(
+    blocks = classes_in.where("classes > 1 and light").select(
         "bucket", F.col("top.component").alias("top"), F.ceil(F.col("n") / BLOCK).alias("rows"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("minors")
     )
     held = labelled.join(blocks, "bucket")
-    own, columns = F.xxhash64("key"), ["bucket", "row_block", "minor_block", "minor", "key", "component", "sketch"]
+    own = F.xxhash64("key")
     sides = [
         held.withColumns({"row_block": F.pmod(own, F.col("rows")), "minor": F.lit(False)})
         .withColumn("minor_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1))),
         held.where("component <> top").withColumns({"minor_block": F.pmod(own, F.col("minors")), "minor": F.lit(True)})
         .withColumn("row_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))),
     ]
-    return sides[0].select(columns).union(sides[1].select(columns))
+    return sides[0].select(*CELL, *MEMBER).union(sides[1].select(*CELL, *MEMBER))
 
 
-def _candidates(table: pa.Table, every: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Of one cell: the keys of its candidates, all or the best of each minor."""
+CELL = ["bucket", "row_block", "minor_block"]
+MEMBER = ["minor", "key", "component", "sketch", "mass", "profile", "light"]
+
+
+def _profiles(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """(key, profile): the weights of each text's shingles summed in PROFILE bins, as half-precision numbers."""
+    table = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for part in steps(batch.column("text").to_pylist()):
+                own, hashes, counts = shingles(part)
+                bins = own * PROFILE + (mix64(hashes) % np.uint64(PROFILE)).astype(np.int64)
+                sums = np.bincount(bins, weights(hashes, counts, table.value), len(part) * PROFILE).astype(np.float16)
+                rows += [x.tobytes() for x in sums.reshape(-1, PROFILE)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(rows, pa.binary())], names=["key", "profile"])
+
+    return texts.select("key", "text").mapInArrow(summed, "key string, profile binary")
+
+
+def _near_profiles(profile: np.ndarray, mass: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the profiles of texts i and j allow the similarity.
+
+    The weights of two texts differ in sum by at least as much as their profiles, since shingles of one bin can only
+    cancel out; a similarity of t leaves (1 - t) / (1 + t) of the weights of both as difference.
+    """
+    ok = np.zeros(len(i), bool)
+    for at in range(0, len(i), 4096):
+        a, b = i[at : at + 4096], j[at : at + 4096]
+        both = mass[a] + mass[b]
+        with np.errstate(invalid="ignore"):  # beyond half precision nothing is known
+            apart = np.abs(profile[a].astype(np.float32) - profile[b]).sum(1)
+        ok[at : at + 4096] = ~(apart > ((1 - threshold) / (1 + threshold) + 1e-3) * both)
+    return ok
+
+
+def _candidates(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of one cell: the keys of its candidates."""
     import pandas as pd
 
     minor = table.column("minor").to_numpy()
     if minor.all() or not minor.any():
         return np.zeros(0, object), np.zeros(0, object)
-    keys = table.column("key").to_numpy()
+    keys, mass, light = (table.column(c).to_numpy() for c in ("key", "mass", "light"))
+    profile = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.float16).reshape(-1, PROFILE)
     component, _ = pd.factorize(table.column("component").to_numpy())
     sketch = np.ascontiguousarray(table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, HASHES).T)
     x, y = np.flatnonzero(minor), np.flatnonzero(~minor)
@@ -358,33 +473,34 @@ def _candidates(table: pa.Table, every: bool) -> tuple[np.ndarray, np.ndarray]:
         for k in range(HASHES):
             agree += sketch[k, strip][:, None] == others[k]
         i, j = np.nonzero((agree >= LEAST_AGREE * HASHES) & (component[strip][:, None] != component[y]))
-        i, j, n = strip[i], y[j], agree[i, j]
-        if not every:
-            order = np.lexsort((-n.astype(np.int64), i))
-            i, j = i[order], j[order]
-            fresh = np.r_[True, i[1:] != i[:-1]][: len(i)]
-            i, j = i[fresh], j[fresh]
-        found.append((keys[i], keys[j]))
+        i, j = strip[i], y[j]
+        lighter = np.where(mass[i] <= mass[j], i, j)
+        ok = light[lighter] & (mass[lighter] >= threshold * np.maximum(mass[i], mass[j]) - SLACK)
+        i, j = i[ok], j[ok]
+        ok = _near_profiles(profile, mass, i, j, threshold)
+        found.append((keys[i[ok]], keys[j[ok]]))
     left, right = (np.concatenate(side) for side in zip(*found, strict=True))
     swap = left > right
     return np.where(swap, right, left), np.where(swap, left, right)
 
 
-def _between(labelled: DataFrame, every: bool) -> DataFrame:
-    """Distinct candidates (a, b), a < b, between different classes of one bucket. labelled: bucket, key, sketch, component."""
-    cell = ["bucket", "row_block", "minor_block"]
+def _between(labelled: DataFrame, threshold: float) -> DataFrame:
+    """Distinct candidates (a, b), a < b, between different classes of one bucket.
+
+    labelled: bucket, key, component, sketch, mass, profile, light.
+    """
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def compared(table: pa.Table) -> pa.RecordBatch:
-            left, right = _candidates(table, every)
+            left, right = _candidates(table, threshold)
             return pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], names=["a", "b"])
 
         for batch in batches:
             fresh = pa.Table.from_batches([batch])
             table = fresh if held is None else pa.concat_tables([held, fresh])
-            ids = np.stack([table.column(c).to_numpy() for c in cell])
+            ids = np.stack([table.column(c).to_numpy() for c in CELL])
             cuts = np.r_[0, np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(0)) + 1]
             for start, end in zip(cuts[:-1], cuts[1:], strict=True):
                 yield compared(table.slice(start, end - start))
@@ -392,48 +508,63 @@ def _between(labelled: DataFrame, every: bool) -> DataFrame:
         if held is not None:
             yield compared(held)
 
-    dealt = _cells(labelled).repartition(*cell).sortWithinPartitions(*cell)
+    dealt = _cells(labelled).repartition(*CELL).sortWithinPartitions(*CELL)
     return dealt.mapInArrow(paired, "a string, b string").distinct()
 
 
-def _texts(plain: DataFrame, distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, text) of each text that occurs in a pair, once."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(distinct.select("key", F.col("id").alias("least")), "key")
-    return materialise(
+def _texts_of(plain: DataFrame, distinct: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``keys``, one for each key, with its text."""
+    wanted = keys.join(distinct.select("key", F.col("id").alias("least")), "key")
+    return (
         plain.select(text_key(F.col("text")).alias("key"), "id", "text").join(wanted, "key").where(F.col("id").eqNullSafe(F.col("least")))
-        .dropDuplicates(["key"]).select("key", "text"),
-        "texts",
+        .dropDuplicates(["key"]).select(*keys.columns, "text")
     )
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(key) of each text that occurs in a pair, once."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(key, class_key, class_id) for each distinct text of ``docs``; key is text_key of the text."""
     plain = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     idf = idf_table(plain, "text")
-    drawn = sketches(plain, "text", idf).select("id", text_key(F.col("text")).alias("key"), "sketch")
-    distinct = materialise(drawn.groupBy("key").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")), "sketches")
+    drawn = sketches(plain, "text", idf).select("id", text_key(F.col("text")).alias("key"), "drawn")
+    distinct = materialise(drawn.groupBy("key").agg(F.min("id").alias("id"), F.first("drawn").alias("drawn")).select("key", "id", "drawn.*"), "sketches")
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sketch", k * ROWS + 1, ROWS))))
     banded = distinct.where(F.size("sketch") > 0).select("key", band.alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialise(banded.join(shared, "bucket").join(distinct.select("key", "sketch"), "key"), "buckets")
-    first = materialise(_neighbours(members.withColumn("component", F.col("key")), LEADS), "pairs")
-    links = materialise(_links(first, _texts(plain, distinct, first), idf, threshold), "links")
+    drawn_of = distinct.select("key", "sketch", "mass")
+    members = materialise(banded.join(shared, "bucket"), "buckets")
+    first = materialise(_neighbours(members.join(drawn_of, "key").withColumn("component", F.col("key")), LEADS, threshold), "pairs")
+    texts = materialise(_texts_of(plain, distinct, _ends(first)), "texts")
+    links = materialise(_links(first, texts, idf, threshold), "links")
     label = connected_components(links, "a", "b")
-    seen = first
-    settled = False  # whether the best candidates of the round before gave no link
-    for every in [False] * BEST_ROUNDS + [True]:
-        if settled and not every:
-            continue
-        labelled = members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        fresh = materialise(_between(labelled, every).join(seen, ["a", "b"], "left_anti"), "pairs")
-        more = materialise(_links(fresh, _texts(plain, distinct, fresh), idf, threshold), "links")
-        seen, links = seen.union(fresh), links.union(more)
-        settled = more.isEmpty()
-        if not settled:
-            label = connected_components(links, "a", "b")
+    discard(texts)
+
+    labelled = members.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    sizes = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    opened = materialise(labelled.join(sizes.select("bucket", (F.col("n") > SMALL).alias("large")), "bucket"), "open")
+    discard(members)
+    still = opened.groupBy("key").agg(F.first("component").alias("component"), F.max("large").alias("large"))
+    held = materialise(_texts_of(plain, distinct, still), "texts")
+    known = materialise(_profiles(held, idf).join(drawn_of, "key"), "profiles")
+    heads = materialise(_heads(held.where("large"), idf, threshold).join(held.select("key", "component"), "key"), "heads")
+    met = heads.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("light").alias("any")).where("low <> high and any")
+    fresh = _between(opened.where("not large").withColumn("light", F.lit(True)).join(known, "key"), threshold)
+    fresh = fresh.union(_between(heads.join(met.select("bucket"), "bucket").join(known, "key"), threshold)).distinct()
+    pairs = materialise(fresh.join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(first, opened, known, heads)
+    more = materialise(_links(pairs, held.select("key", "text").join(_ends(pairs), "key"), idf, threshold), "links")
+    discard(pairs, held)
+    if not more.isEmpty():
+        label = connected_components(links.union(more), "a", "b")
     whole = distinct.select("key", "id").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("component", "key"))
     least = whole.groupBy("class_key").agg(F.min("id").alias("class_id"))
-    return materialise(whole.join(least, "class_key").select("key", "class_key", "class_id"), "classes")
+    found = materialise(whole.join(least, "class_key").select("key", "class_key", "class_id"), "classes")
+    discard(distinct, links, more)
+    return found
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -441,25 +572,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Of rows with the class's smallest id, the first in the order of text key and place is kept.
     """
-    rows = docs.select(doc_id, text_key(F.col(text)).alias("__key"), F.monotonically_increasing_id().alias("__row"))
-    placed = rows.join(classes(docs, doc_id, text, **options).withColumnRenamed("key", "__key"), "__key")
-    place = F.struct(F.col(doc_id).isNull(), doc_id, "__key", "__row")
+    rows = materialise(docs.select(F.col(doc_id).alias("id"), text_key(F.col(text)).alias("key"), F.monotonically_increasing_id().alias("row")), "rows")
+    placed = rows.join(classes(docs, doc_id, text, **options), "key")
+    place = F.struct(F.col("id").isNull(), "id", "key", "row")
     first = placed.groupBy("class_key").agg(F.min(place).alias("first"))
-    return placed.join(first, "class_key").select(doc_id, "__key", "__row", "class_id", (F.col("first") == place).alias("kept"))
+    return placed.join(first, "class_key").select(F.col("id").alias(doc_id), "class_id", (F.col("first") == place).alias("kept"))
 
 
 def near_duplicate_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    return near_duplicates(docs, doc_id, text, **options).drop("__key", "__row")
+    return near_duplicates(docs, doc_id, text, **options)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with their columns, less all but one of each class of near-duplicates."""
-    found = classes(docs, doc_id, text, **options).select("class_key", F.col("key").alias("__key"))
-    marked = docs.withColumns({"__key": text_key(F.col(text)), "__row": F.monotonically_increasing_id()})
-    order = F.struct(F.col(doc_id).isNull(), doc_id, "__key", "__row")
+    """The rows of ``docs``, with their columns of whatever names, less all but one of each class of near-duplicates.
+
+    Rows are numbered once, in a table written before the choice, so that each is what it was when it was chosen.
+    """
+    key, row = free_name("__key", docs), free_name("__row", docs)
+    marked = materialise(docs.withColumns({key: text_key(F.col(text)), row: F.monotonically_increasing_id()}), "numbered")
+    found = classes(marked, doc_id, text, **options)
+    order = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col(key).alias("key"), F.col(row).alias("row"))
     first = (
-        marked.select(order.alias("__order"), "__key").groupBy("__key").agg(F.min("__order").alias("__order"))
-        .join(found, "__key").groupBy("class_key").agg(F.min("__order").alias("__order"))
-        .select(F.col("__order.__key").alias("__key"), F.col("__order.__row").alias("__row"))
+        marked.select(order.alias("first")).groupBy(F.col("first.key").alias("key")).agg(F.min("first").alias("first"))
+        .join(found, "key").groupBy("class_key").agg(F.min("first").alias("first")).select("first.key", "first.row")
     )
-    return marked.join(first, ["__key", "__row"], "left_semi").select(*docs.columns)
+    return marked.join(first.select(F.col("key").alias(key), F.col("row").alias(row)), [key, row], "left_semi").select(*docs.columns)
