@@ -8,7 +8,7 @@ is shuffled; at its end the few open windows are merged by cutting pieces, and t
 into windows of power-of-two lengths, which need no padding.
 
 Defined results: a null text counts as empty (only the end id); equal rows are packed one by one; an
-empty table gives no rows. State per task: the open windows, each of at most a window's ids.
+empty table gives no rows. State per task: at most MOST_OPEN open windows, each of at most a window's ids.
 """
 
 from __future__ import annotations
@@ -30,14 +30,18 @@ from quakespark.llm.memo import Memo
 
 WINDOW = 2048
 END_ID = 1
-MEMO = 300_000
+MEMO = 400_000
+#: Signs that the tokenizer splits from the letters before them, whatever they are; not ' and <, which can begin more.
+SIGNS = ".,!?;:#$%&*()[]{}+-=/|@^_~"
+#: Open windows of a task; beyond them all are merged by cutting, as at the end. Random sizes keep far fewer open.
+MOST_OPEN = 4096
 FIELDS = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 class WordEncoder:
     """Ids of texts as bytes. The tokenizer drops white space and splits there, so runs of text without a
-    space are encoded apart. A run of Latin letters, perhaps with a full stop or comma, is split, lower-cased
-    and normalised the same way whatever stands around it, so its word goes straight to the merge model; all
+    space are encoded apart. It also splits letters from the signs behind them, lower-cases and normalises, so
+    of a run of Latin letters, perhaps with signs at its end, the word goes straight to the merge model; all
     other runs go through the whole tokenizer. Ids are kept in memos of bounded size between batches."""
 
     def __init__(self, tokenizer_file: str, memo: int = MEMO):
@@ -45,44 +49,28 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tails = {x: self._slow([x])[0] for x in ".,"} | {"": b""}
         # byte-level characters of the model: printable bytes stand for themselves, the rest follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.shown = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
-        self.word = Memo(self._word, memo)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.memo = memo
+        self.word, self.signs, self.run = Memo(self._word, memo), Memo(self._whole, memo), Memo(self._run, memo)
 
-    def _slow(self, runs: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(runs, add_special_tokens=False)]
+    def _whole(self, run: str) -> bytes:
+        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
-        shown = word.encode().decode("latin-1").translate(self.shown)
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
         return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
 
+    def _run(self, run: str) -> bytes:
+        word = run.rstrip(SIGNS)
+        if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+            return self.word[word.lower()] + self.signs[run[len(word) :]]
+        return self._whole(run)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        runs = [x.replace("\n", " ").split(" ") for x in texts]
-        young, old, slow = self.young, self.old, []
-        for x in set().union(*runs):
-            if x in young:
-                continue
-            held = old.get(x)
-            if held is not None:
-                young[x] = held
-                continue
-            word, tail = (x[:-1], x[-1]) if x[-1:] in (".", ",") else (x, "")
-            if word.isalpha() and max(word) <= "\xff":
-                young[x] = self.word[word.lower()] + self.tails[tail]
-            else:
-                slow.append(x)
-        for i in range(0, len(slow), 4096):
-            young.update(zip(slow[i : i + 4096], self._slow(slow[i : i + 4096]), strict=True))
-        out = [b"".join(map(young.__getitem__, x)) for x in runs]
-        if len(young) > self.memo:
-            self.old, self.young = young, {}
-        return out
+        found = self.run.__getitem__
+        return [b"".join(map(found, x.replace("\n", " ").split(" "))) for x in texts]
 
 
 @functools.lru_cache(2)
@@ -98,6 +86,7 @@ class LevelPacker:
         self.window = window
         self.count = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list]] = defaultdict(list)
+        self.windows = 0
 
     def level(self, size: int) -> int:
         """The level that a piece of this size goes to; among equals the fullest."""
@@ -120,10 +109,12 @@ class LevelPacker:
         held = [piece]
         if at:
             self.count[at] -= 1
+            self.windows -= 1
             held = [*self.open[at].pop(), piece]
         if at + size == self.window:
             return held
         self.count[at + size] += 1
+        self.windows += 1
         self.open[at + size].append(held)
         return None
 
@@ -145,7 +136,7 @@ class LevelPacker:
                 room -= len(ids) // 4
             yield held
         self.open.clear()
-        self.count[:] = 0
+        self.count[:], self.windows = 0, 0
 
 
 def pack(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -183,6 +174,9 @@ def pack(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str
                 for start in range(0, tokens, window):
                     if held := packer.add((key, start, ids[4 * start : 4 * (start + window)], tokens)):
                         emit(held)
+                if packer.windows > MOST_OPEN:
+                    for held in packer.rest():
+                        emit(held)
                 if len(rows) >= 2000:
                     yield batch()
         for held in packer.rest():

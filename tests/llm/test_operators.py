@@ -243,6 +243,39 @@ def test_packing_round_trip(docs):
         assert [o for o, _ in f] == [sum(n for _, n in f[:k]) for k in range(len(f))] and total <= 64 and (total == 64 or total & (total - 1) == 0)
 
 
+def test_level_brute():
+    """Every piece goes where the sum of squared level counts ends smallest, among equals to the fullest level."""
+    rng = random.Random(5)
+    packer, counts, placed = packing.LevelPacker(32), [0] * 33, 0
+    for n in range(400):
+        size = rng.choice([1, 3, 5, 8, 13, 16, 17, 31, 32, rng.randrange(1, 33)])
+        squares = {}
+        for level in [0, *(h for h in range(1, 33 - size) if counts[h])]:
+            after = list(counts)
+            after[level] -= level > 0
+            after[level + size] += level + size < 32
+            squares[level] = sum(c * c for c in after)
+        want = min(squares, key=lambda h: (squares[h], -h)) if size < 32 else 0
+        if size < 32:
+            assert packer.level(size) == want, (n, size, squares)
+        full = packer.add((n, 0, b"abcd" * size, size))
+        counts[want] -= want > 0
+        counts[want + size] += want + size < 32
+        placed += size
+        assert packer.count.tolist() == counts and packer.windows == sum(counts) and (full is None) == (want + size < 32)
+    assert sum(len(p[2]) // 4 for w in packer.rest() for p in w) == sum(h * c for h, c in enumerate(counts)) and packer.windows == 0
+
+
+def test_packing_bounds_open_windows(spark, monkeypatch):
+    """Pieces over half a window never meet; open windows are then merged by cutting, and nothing is lost."""
+    monkeypatch.setattr(packing, "MOST_OPEN", 3)
+    rows = [(i, " ".join(["ab"] * 39), "x") for i in range(20)] + [(None, None, None), (5, "a", "y")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").coalesce(1)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pack(docs, path, window=64).collect()
+    assert sum(p["length"] for p in pieces) == 20 * 40 + 2 * 1 + 2 * 2 and max(p["length"] + p["offset"] for p in pieces) <= 64
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
