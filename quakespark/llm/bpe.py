@@ -31,11 +31,14 @@ from quakespark.llm.memo import Memo
 LEAF = 6
 MEMO = 100_000
 #: A space that doesn't begin a word: before white space or the end.
+#: Ids that are decoded in one step.
+DECODE_IDS = 1 << 20
 ODD_SPACE = re.compile(r" (?=\s|$)")
 
 
 class TreeBPE:
-    def __init__(self, rank_file: str, pattern: str, leaf: int = LEAF, memo: int = MEMO):
+    def __init__(self, rank_file: str, pattern: str, space_begins: bool = False, leaf: int = LEAF, memo: int = MEMO):
+        self.space_begins = space_begins
         import regex
 
         with open(rank_file, "rb") as f:
@@ -109,9 +112,10 @@ class TreeBPE:
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit numbers.
 
-        Where every space is followed by a word, each space begins a piece, so the parts between can be encoded apart.
+        Where every space is followed by a word and the pattern begins a piece at such a space, as ``space_begins``
+        states of it, the parts between can be encoded apart.
         """
-        if " " not in text or ODD_SPACE.search(text):
+        if not self.space_begins or " " not in text or ODD_SPACE.search(text):
             return self._ids(text)
         first, *rest = text.split(" ")
         return self.at_start[first] + b"".join(map(self.after_space.__getitem__, rest))
@@ -132,55 +136,57 @@ class TreeBPE:
         offsets = arrays.offsets.to_numpy()
         ids = arrays.values.to_numpy()[offsets[0] : offsets[-1]]
         out = []
-        for i in range(0, len(arrays), 256):  # bounds the index arrays
-            low, high = offsets[i] - offsets[0], offsets[min(i + 256, len(arrays))] - offsets[0]
-            data, sizes = self.decode(ids[low:high])
-            ends = np.r_[0, np.cumsum(sizes)][offsets[i : i + 257] - offsets[i]].astype(np.int32)
+        i = 0
+        while i < len(arrays):  # about DECODE_IDS at a time bound the index arrays
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + DECODE_IDS, side="right")) - 1)
+            data, sizes = self.decode(ids[offsets[i] - offsets[0] : offsets[j] - offsets[0]])
+            ends = np.r_[0, np.cumsum(sizes)][offsets[i : j + 1] - offsets[i]].astype(np.int32)
             out.append(pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]))
+            i = j
         return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
 
 @functools.lru_cache(4)
-def tokenizer(rank_file: str, pattern: str) -> TreeBPE:
+def tokenizer(rank_file: str, pattern: str, space_begins: bool = False) -> TreeBPE:
     """One for each Python worker and vocabulary."""
-    return TreeBPE(rank_file, pattern)
+    return TreeBPE(rank_file, pattern, space_begins)
 
 
-def encode(text: Column, rank_file: str, pattern: str) -> Column:
+def encode(text: Column, rank_file: str, pattern: str, space_begins: bool = False) -> Column:
     """The ids of each text, ``array<int>``."""
 
     @arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        return tokenizer(rank_file, pattern).encode_texts(texts)
+        return tokenizer(rank_file, pattern, space_begins).encode_texts(texts)
 
     return encoded.asNondeterministic()(text)
 
 
-def decode(ids: Column, rank_file: str, pattern: str) -> Column:
+def decode(ids: Column, rank_file: str, pattern: str, space_begins: bool = False) -> Column:
     """The bytes of each array of ids, ``binary``; a null array counts as empty."""
 
     @arrow_udf("binary")
     def decoded(arrays: pa.Array) -> pa.Array:
-        return tokenizer(rank_file, pattern).decode_arrays(arrays.fill_null([]))
+        return tokenizer(rank_file, pattern, space_begins).decode_arrays(arrays.fill_null([]))
 
     return decoded(ids)
 
 
-def round_trip(text: Column, rank_file: str, pattern: str) -> Column:
+def round_trip(text: Column, rank_file: str, pattern: str, space_begins: bool = False) -> Column:
     """struct<ids:array<int>, decoded:binary>: the ids of each text and what they decode to, in one pass through Python."""
 
     @arrow_udf("ids array<int>, decoded binary")
     def both(texts: pa.Array) -> pa.Array:
-        bpe = tokenizer(rank_file, pattern)
+        bpe = tokenizer(rank_file, pattern, space_begins)
         ids = bpe.encode_texts(texts)
         return pa.StructArray.from_arrays([ids, bpe.decode_arrays(ids)], ["ids", "decoded"])
 
     return both.asNondeterministic()(text)
 
 
-def token_digests(docs: DataFrame, rank_file: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def token_digests(docs: DataFrame, rank_file: str, pattern: str, space_begins: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: the number of tokens, and the digests of the ids and of the decoded bytes."""
-    made = docs.select(F.col(doc_id), round_trip(F.col(text), rank_file, pattern).alias("__made"))
+    made = docs.select(F.col(doc_id), round_trip(F.col(text), rank_file, pattern, space_begins).alias("__made"))
     return made.select(
         doc_id,
         F.size("__made.ids").cast("long").alias("n_tokens"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that one vectorised step takes at most, unless a single text is longer.
 STEP_CHARS = 1_000_000
@@ -64,3 +65,23 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a column expression that is evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column], first: Column, block: int = 256) -> Column:
+    """For each element, ``step`` folded over the elements before it, from ``first``; ``step`` must be associative.
+
+    Folded block by block, so that the work stays near linear in the array.
+    """
+    fold = lambda x: F.aggregate(x, first, step)
+    before = lambda x, n: F.slice(x, F.lit(1), n)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda b: F.slice(values, b * block + 1, F.lit(block)))
+    within = lambda x, base: F.transform(x, lambda _, i: step(base, fold(before(x, i))))
+    run = lambda whole: bound(
+        F.transform(whole, fold), lambda totals: F.flatten(F.transform(whole, lambda x, b: bound(fold(before(totals, b)), lambda base: within(x, base))))
+    )
+    return F.when(F.size(values) > 0, bound(blocks, run)).otherwise(F.array().cast("array<int>"))

@@ -16,10 +16,14 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quakespark.llm.common import bound
+
 #: Words of a text whose A-Z are lower-cased, and the same words in a text as it is.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -86,7 +90,7 @@ def _starts(words: Column, phrase: str) -> Column:
     """Places (from 0) where the words of the phrase stand consecutively."""
     parts = phrase.split()
     first = F.filter(F.transform(words, lambda w, i: F.when(w == parts[0], i)), lambda i: i.isNotNull())
-    same = lambda i: F.slice(words, i + 1, len(parts)) == F.array(*map(F.lit, parts))
+    same = lambda i: reduce(and_, (F.get(words, i + k).eqNullSafe(F.lit(w)) for k, w in enumerate(parts)))
     return F.when(F.array_contains(words, parts[-1]) & F.array_contains(words, parts[0]), F.filter(first, same)).otherwise(F.array().cast("array<int>"))
 
 
@@ -102,32 +106,24 @@ def scan(docs: DataFrame, text: str = "text", least_score: float = LEAST_SCORE)
     step1 = docs.withColumn("__words", words_of(F.col(text)))
     hits = F.filter(F.transform("__words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(rare, h["w"]))
     votes = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["i"]).alias("at"), q["s"].alias("s")))))
-    step2 = step1.withColumn("__votes", F.when(F.arrays_overlap("__words", rare), F.array_sort(votes)).otherwise(none))
-    # runs of equal (template, place) in the sorted votes, closed by a last vote that belongs to none
-    closing = F.array(F.struct(F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("s")))
-    runs = F.aggregate(
-        F.concat(F.col("__votes"), closing),
-        F.struct(F.lit(-2).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("s"), none.alias("out")),
-        lambda held, v: F.when(
-            (held["t"] == v["t"]) & (held["at"] == v["at"]),
-            F.struct(held["t"].alias("t"), held["at"].alias("at"), (held["s"] + v["s"]).alias("s"), held["out"].alias("out")),
-        ).otherwise(F.struct(
-            v["t"].alias("t"), v["at"].alias("at"), v["s"].alias("s"),
-            F.when((held["t"] >= 0) & (held["s"] >= least_score), F.array_append(held["out"], F.struct(held["t"].alias("t"), held["at"].alias("at"), held["s"].alias("s")))).otherwise(held["out"]).alias("out"),
-        )),
-        lambda held: held["out"],
-    )
-    step3 = step2.withColumn("__runs", F.when(F.size("__votes") > 0, runs).otherwise(none))
+    # votes of one (template, place) stand together once sorted; each run of them is summed by its places
+    summed = lambda v, low, high: F.aggregate(F.sequence(low, high - 1), F.lit(0.0), lambda total, i: total + F.get(v, i)["s"])
+    first = lambda v: F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i)["t"] != F.get(v, i - 1)["t"]) | (F.get(v, i)["at"] != F.get(v, i - 1)["at"]))
+    run = lambda v, starts: F.transform(starts, lambda low, k: F.struct(
+        F.get(v, low)["t"].alias("t"), F.get(v, low)["at"].alias("at"), summed(v, low, F.coalesce(F.get(starts, k + 1), F.size(v))).alias("s")
+    ))
+    runs = bound(F.array_sort(votes), lambda v: F.when(F.size(v) > 0, F.filter(bound(first(v), lambda starts: run(v, starts)), lambda r: r["s"] >= least_score)))
+    step2 = step1.withColumn("__runs", F.when(F.arrays_overlap("__words", rare), F.coalesce(runs, none)).otherwise(none))
     key = lambda r: F.element_at(keys, r["t"] + 1)
     at = lambda r: r["at"] + key(r)["at"]
-    verified = F.filter("__runs", lambda r: (at(r) >= 0) & (F.slice("__words", F.greatest(at(r), F.lit(0)) + 1, F.size(key(r)["words"])) == key(r)["words"]))
+    verified = F.filter("__runs", lambda r: (at(r) >= 0) & F.forall(F.transform(key(r)["words"], lambda w, k: F.get(F.col("__words"), at(r) + k).eqNullSafe(w)), lambda same: same))
     marked = lambda label: lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
     places = F.array_sort(F.concat(*(F.transform(_starts(F.col("__words"), phrase), marked(label)) for phrase, label in BASE.items())))
-    return step3.withColumn("__scan", F.struct(
+    return step2.withColumn("__scan", F.struct(
         F.size("__words").cast("long").alias("n_words"),
         places.alias("places"),
         F.transform(verified, lambda r: F.struct(key(r)["label"].alias("label"), F.least(F.round(r["s"], 6), F.lit(1.0)).alias("score"), r["at"].alias("at"))).alias("found"),
-    )).drop("__words", "__votes", "__runs")
+    )).drop("__words", "__runs")
 
 
 def license_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

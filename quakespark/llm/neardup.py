@@ -62,6 +62,8 @@ SMALL = 64
 RARE_SLOTS, RARE_PARTS = 1 << 22, 64
 #: Texts in a chunk, and pairs between two chunks from which on they are verified together.
 CHUNK, DENSE = 512, 2048
+#: Shingles of a head before a shingle that its row names; texts that share an earlier one beyond them meet again.
+EARLIER = 32
 #: Bins of a profile, in which the weights of a text's shingles are summed.
 PROFILE = 256
 #: Sums of weights may differ by this in the last places.
@@ -363,7 +365,7 @@ def _rare_slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def _heads(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """(bucket, key, light): the rare shingles of each text by which it can meet others; texts: key, text.
+    """(bucket, key, light, earlier): the rare shingles of each text by which it can meet others; texts: key, text.
 
     ``light`` tells whether the shingle also lies in the shorter head, in which the lighter text of a link has it.
     """
@@ -387,11 +389,17 @@ def _heads(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
                 # what no other text holds is in no common weight; what is left of the head is shared
                 keep = (left >= threshold * total[own] * (1 - SLACK)) & (n > 1)
                 light = (left >= lighter * total[own] * (1 - SLACK)) & (shared[own] >= lighter * total[own] * (1 - SLACK))
-                keys = batch.column("key").take(pa.array(own[keep] + at))
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].astype(np.int64)), keys, pa.array(light[keep])], names=["bucket", "key", "light"])
+                own, head = own[keep], hashes[keep].astype(np.int64)
+                nth = np.arange(len(own)) - np.searchsorted(own, own)
+                size = np.minimum(nth, EARLIER)
+                ends = np.cumsum(size)
+                before = np.arange(size.sum()) + np.repeat(np.arange(len(own)) - size - (ends - size), size)
+                earlier = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(head[before]))
+                keys = batch.column("key").take(pa.array(own + at))
+                yield pa.RecordBatch.from_arrays([pa.array(head), keys, pa.array(light[keep]), earlier], names=["bucket", "key", "light", "earlier"])
                 at += len(part)
 
-    return texts.select("key", "text").mapInArrow(headed, "bucket long, key string, light boolean")
+    return texts.select("key", "text").mapInArrow(headed, "bucket long, key string, light boolean, earlier array<bigint>")
 
 
 def _cells(labelled: DataFrame) -> DataFrame:
@@ -418,7 +426,7 @@ def _cells(labelled: DataFrame) -> DataFrame:
 
 
 CELL = ["bucket", "row_block", "minor_block"]
-MEMBER = ["minor", "key", "component", "sketch", "mass", "profile", "light"]
+MEMBER = ["minor", "key", "component", "sketch", "mass", "profile", "light", "earlier"]
 
 
 def _profiles(texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -464,6 +472,7 @@ def _candidates(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
     keys, mass, light = (table.column(c).to_numpy() for c in ("key", "mass", "light"))
     profile = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.float16).reshape(-1, PROFILE)
     component, _ = pd.factorize(table.column("component").to_numpy())
+    earlier = table.column("earlier").to_pylist()
     sketch = np.ascontiguousarray(table.column("sketch").combine_chunks().flatten().to_numpy().reshape(-1, HASHES).T)
     x, y = np.flatnonzero(minor), np.flatnonzero(~minor)
     others, width, found = sketch[:, y], max(1, (1 << 20) // len(y)), []
@@ -478,16 +487,24 @@ def _candidates(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarr
         ok = light[lighter] & (mass[lighter] >= threshold * np.maximum(mass[i], mass[j]) - SLACK)
         i, j = i[ok], j[ok]
         ok = _near_profiles(profile, mass, i, j, threshold)
+        ok[ok] = ~_met_before(earlier, i[ok], j[ok])
         found.append((keys[i[ok]], keys[j[ok]]))
     left, right = (np.concatenate(side) for side in zip(*found, strict=True))
     swap = left > right
     return np.where(swap, right, left), np.where(swap, left, right)
 
 
+def _met_before(earlier: list[list[int]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the texts i and j share an earlier bucket."""
+    sets = {k: set(earlier[k]) for k in {*i.tolist(), *j.tolist()}}
+    return np.fromiter((not sets[a].isdisjoint(sets[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+
+
 def _between(labelled: DataFrame, threshold: float) -> DataFrame:
     """Distinct candidates (a, b), a < b, between different classes of one bucket.
 
-    labelled: bucket, key, component, sketch, mass, profile, light.
+    labelled: bucket, key, component, sketch, mass, profile, light, earlier. Texts that share one of their earlier
+    buckets meet there, and are passed over here.
     """
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,8 +549,9 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     idf = idf_table(plain, "text")
     drawn = sketches(plain, "text", idf).select("id", text_key(F.col("text")).alias("key"), "drawn")
     distinct = materialise(drawn.groupBy("key").agg(F.min("id").alias("id"), F.first("drawn").alias("drawn")).select("key", "id", "drawn.*"), "sketches")
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sketch", k * ROWS + 1, ROWS))))
-    banded = distinct.where(F.size("sketch") > 0).select("key", band.alias("bucket"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.slice("sketch", k * ROWS + 1, ROWS)))
+    banded = distinct.where(F.size("sketch") > 0).select("key", bands.alias("bands")).select("key", "bands", F.posexplode("bands").alias("k", "bucket"))
+    banded = banded.select("key", "bucket", F.slice("bands", F.lit(1), F.col("k")).alias("earlier"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     drawn_of = distinct.select("key", "sketch", "mass")
     members = materialise(banded.join(shared, "bucket"), "buckets")

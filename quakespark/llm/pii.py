@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quakespark.session import materialise
+from quakespark.llm.common import bound, running
+from quakespark.session import discard, free_name, materialise
 
 #: The base kinds in their order, as regular expressions. What can't change a match keeps them
 #: linear on long runs: possessive loops, and starts only at the beginning of a run or after the last match.
@@ -56,20 +57,17 @@ def matches(text: Column, pattern: str) -> Column:
 
     ``split`` and ``regexp_extract_all`` scan alike, so gaps and matches alternate.
     """
-    return F.aggregate(
+    found = F.transform(
         F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda held, x: F.struct(
-            (held["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
-            F.when(x["match"].isNull(), held["out"])
-            .otherwise(F.array_append(held["out"], F.struct(
-                (held["at"] + F.length(x["gap"])).alias("start"),
-                (held["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("end"),
-                x["match"].alias("text"),
-            ))).alias("out"),
-        ),
-        lambda held: held["out"],
+        lambda x: F.struct(F.length(x["gap"]).alias("skip"), F.coalesce(F.length(x["match"]), F.lit(0)).alias("length"), x["match"].alias("text")),
     )
+    placed = lambda x: bound(
+        running(F.transform(x, lambda m: m["skip"] + m["length"]), lambda a, b: a + b, F.lit(0)),
+        lambda before: F.transform(x, lambda m, i: F.struct(
+            (F.get(before, i) + m["skip"]).alias("start"), (F.get(before, i) + m["skip"] + m["length"]).alias("end"), m["text"].alias("text")
+        )),
+    )
+    return F.filter(bound(found, placed), lambda m: m["text"].isNotNull())
 
 
 def luhn(digits: Column) -> Column:
@@ -182,26 +180,30 @@ def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float =
     return trusted.select("pattern")
 
 
-def find(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with __spans: a struct of the spans (start, end) of each base kind, and of ``id``, the discovered ones."""
-    value = F.coalesce(F.col(text), F.lit(""))
+def find(docs: DataFrame, text: str = "text", spans: str = "__spans", **options) -> DataFrame:
+    """``docs`` with a column named by ``spans``: a struct of the spans (start, end) of each base kind, and of ``id``, the discovered ones.
+
+    Its own columns are in one struct of their own beside the input's, whose names are thus free.
+    """
+    whole = docs.select(F.struct("*").alias("__doc"), F.monotonically_increasing_id().alias("__row"))
+    value = F.coalesce(F.col(f"__doc.`{text}`"), F.lit(""))
     places = lambda spans: F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["text"]).alias("instance"), kind_of(s["text"]).alias("kind")
     ))
-    based = docs.withColumn("__row", F.monotonically_increasing_id())
     for kind in PATTERNS:
-        based = based.withColumn(f"__{kind}", places(base_spans(value, kind)))
-    held = materialise(based.withColumn("__pieces", pieces(value)), "pii")
+        whole = whole.withColumn(f"__{kind}", places(base_spans(value, kind)))
+    held = materialise(whole.withColumn("__pieces", pieces(value)), "pii")
     seen = materialise(occurrences(held), "occurrences")
     linked = seen.select(F.explode("patterns").alias("pattern"), "instance", "seed", "__row", "start", "end")
     edges = materialise(linked.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "graph")
-    fresh = (
-        linked.where("not seed").join(trusted_patterns(edges, **options), "pattern", "left_semi")
-        .groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__id"))
+    trusted = trusted_patterns(edges, **options)
+    fresh = materialise(
+        linked.where("not seed").join(trusted, "pattern", "left_semi").groupBy("__row").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__id")), "discovered"
     )
+    discard(seen, edges)
     found = held.drop("__pieces").join(fresh, "__row", "left")
-    spans = F.struct(*(F.col(f"__{kind}").alias(kind) for kind in PATTERNS), F.coalesce("__id", F.array().cast("array<struct<start:int,end:int>>")).alias("id"))
-    return found.withColumn("__spans", spans).drop("__row", "__id", *(f"__{kind}" for kind in PATTERNS))
+    every = F.struct(*(F.col(f"__{kind}").alias(kind) for kind in PATTERNS), F.coalesce("__id", F.array().cast("array<struct<start:int,end:int>>")).alias("id"))
+    return found.select("__doc.*", every.alias(spans))
 
 
 def pii_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -216,26 +218,24 @@ def pii_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
 
 
 def redact(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """``docs`` with every span of personal data in the text replaced by its kind in brackets; null texts stay null.
+    """``docs``, with columns of whatever names, with every span of personal data in the text replaced by its kind in brackets; null texts stay null.
 
     Where spans overlap, the one that starts first (the longer one of two) is replaced, and the rest of the other is cut out.
     """
-    marked = F.array_sort(F.concat(*(
-        F.transform(F.col(f"__spans.{k}"), named(k)) for k in [*PATTERNS, "id"]
-    )))
-    value = F.col(text)
-    cut = F.aggregate(
-        marked,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda held, s: F.struct(
-            F.greatest(held["at"], s["end"]).alias("at"),
-            F.when(s["start"] < held["at"], held["out"])
-            .otherwise(F.concat(held["out"], F.substring(value, held["at"] + 1, s["start"] - held["at"]), F.lit("["), s["kind"], F.lit("]"))).alias("out"),
+    spans, value = free_name("__spans", docs), F.col(text)
+    marked = F.array_sort(F.concat(*(F.transform(F.col(f"{spans}.{k}"), named(k)) for k in [*PATTERNS, "id"])))
+    # what stands before a span begins where all spans before it have ended
+    kept = lambda s, reach: F.when(s["start"] >= reach, F.concat(F.substring(value, reach + 1, s["start"] - reach), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+    cut = bound(marked, lambda m: bound(
+        running(F.transform(m, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0)),
+        lambda reach: F.concat(
+            F.array_join(F.transform(m, lambda s, i: kept(s, F.get(reach, i))), ""),
+            F.substring(value, F.array_max(F.transform(m, lambda s: s["end"])) + 1, F.length(value)),
         ),
-        lambda held: F.concat(held["out"], F.substring(value, held["at"] + 1, F.length(value))),
-    )
-    found = find(docs, text, **options)
-    return found.withColumn(text, F.when(F.size(marked) > 0, cut).otherwise(value)).select(*docs.columns)
+    ))
+    found = find(docs, text, spans, **options)
+    some = F.size(F.flatten(F.array(*(F.transform(F.col(f"{spans}.{k}"), lambda s: s["start"]) for k in [*PATTERNS, "id"])))) > 0
+    return found.withColumn(text, F.when(some, cut).otherwise(value)).select(*docs.columns)
 
 
 def named(kind: str):

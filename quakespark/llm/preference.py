@@ -5,10 +5,12 @@ as the prompt; what follows is rendered as the chosen and the rejected completio
 the spans (code points, end exclusive) of what assistants say in it, on which a model may be trained.
 
 Defined results: turns are ordered by turn, role, text; a null role counts as "user", a null text as
-empty; repeated rows are repeated turns; a pair with one conversation has an empty other side; rows
+empty; repeated rows are repeated turns; a pair with one conversation has an empty other side; two equal
+conversations give the whole as prompt and two empty completions with empty masks; rows
 without a conversation id belong to no conversation and are left out; an empty table gives no rows.
-A conversation, being one training example, must fit in a task; pairs are grouped by key alone, so
-frequent first turns or texts make no large group.
+A conversation, being one training example whose text is one cell of the result, must fit in a task; pairs are
+grouped by key alone, so frequent first turns or texts make no large group. Columns beyond conv_id, turn, role
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quakespark.llm.common import steps, word_codes
+from quakespark.session import free_name
 
 MIN_WORDS = 50
 MIN_REPEAT = 5
@@ -148,4 +149,5 @@ def repetition_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def keep_quality(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows of ``docs``, with their columns, whose text the rules keep."""
-    return docs.withColumn("__rule", repetition(F.col(text), **limits)).where("__rule.kept").drop("__rule")
+    rule = free_name("__rule", docs)
+    return docs.withColumn(rule, repetition(F.col(text), **limits)).where(F.col(rule)["kept"]).drop(rule)

@@ -56,7 +56,7 @@ def op8_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_multi_50k.tiktoken"), split_pattern())
+    return bpe.token_digests(table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_multi_50k.tiktoken"), split_pattern(), space_begins=True)
 
 
 def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:

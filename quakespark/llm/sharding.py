@@ -25,6 +25,7 @@ from quakespark.session import materialise
 SEED = 20240
 BUCKET_BYTES = 8 << 20
 SHARDS = 16
+RUN = 4096
 
 
 def external_shuffle(rows: DataFrame, text: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -49,11 +50,15 @@ def external_shuffle(rows: DataFrame, text: str = "text", seed: int = SEED, buck
 def deal(shuffled: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Adds ``shard`` (int) and ``slot`` (long, gapless from 0 in the shard) to the rows of external_shuffle.
 
-    The table of bucket sizes has a row for every ``bucket_bytes`` of input and is summed up in one window.
+    The table of bucket sizes has a row for every ``bucket_bytes`` of input. It is summed up in runs of RUN buckets, and
+    the sums of the runs in one window, of a row for every RUN * ``bucket_bytes``.
     """
-    counts = shuffled.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    counts = shuffled.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__run", F.floor(F.col("__bucket") / RUN))
+    sums = counts.groupBy("__run").agg(F.sum("__n").alias("__sum"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("__run", F.coalesce(F.sum("__sum").over(before(Window.orderBy("__run"))), F.lit(0)).alias("__base"))
+    own = F.coalesce(F.sum("__n").over(before(Window.partitionBy("__run").orderBy("__bucket"))), F.lit(0))
+    starts = counts.withColumn("__own", own).join(bases, "__run").select("__bucket", (F.col("__base") + F.col("__own")).alias("__start"))
     place = F.col("__start") + F.col("__place")
     return (
         shuffled.join(starts, "__bucket")

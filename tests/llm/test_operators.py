@@ -211,6 +211,134 @@ def test_search_brute(spark):
         assert [x[0] for x in got[q]] == [i for _, i in sorted(scored)[:10]]
 
 
+def test_search_ids_and_ties(spark):
+    """Null ids, ids beyond doubles, repeated ids and rows: ties by id, null last, each row an answer of its own."""
+    big = 9007199254740993
+    rows = [(big, "rare word"), (None, "rare word"), (big, "rare word"), (7, "rare word"), (3, "other"), (None, None), (50, "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    queries = spark.createDataFrame([(1, "rare"), (None, "rare word")], "query_id long, text string")
+    got = {q: [r["doc_id"] for r in search.search(docs, queries, shard_chars=15, k=4).orderBy("rank").collect() if r["query_id"] == q] for q in (1, None)}
+    assert got == {1: [50, 7, big, big], None: [7, big, big, None]}
+
+
+def test_clashing_names(spark):
+    """Columns named like an operator's own pass through every stage that returns the rows of its input."""
+    names = ["__row", "__key", "__toxic", "__rule", "__spans", "__doc", "key", "row", "first", "id", "bucket", "component"]
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, words + " a@b.de", *range(12)), (2, words, *range(20, 32)), (2, words, *range(40, 52)), (None, None, *[None] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names)).repartition(2)
+    labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
+    want = sorted(map(tuple, docs.select(names).collect()), key=str)
+    assert sorted(map(tuple, toxicity.keep_harmless(docs, labels).select(names).collect()), key=str) == want
+    assert sorted(map(tuple, pii.redact(docs).select(names).collect()), key=str) == want
+    kept = quality.keep_quality(docs)
+    assert kept.columns == docs.columns and sorted(r["__row"] for r in kept.select(names).collect()) == [0, 20, 40]
+    one = neardup.keep_one(docs)
+    assert one.columns == docs.columns and {tuple(r[2:]) for r in one.collect()} <= set(want) and one.where("doc_id is null").count() == 1
+    assert one.count() == 2 and pii.redact(docs).where("doc_id = 1").first()["text"].endswith("[email]")
+
+
+def test_near_duplicates_large_buckets(spark, monkeypatch):
+    """Buckets split by rare shingles lose no link between classes: as with buckets compared whole."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):  # copies of one text around the threshold, so that many links are only met in the second round
+        c = list(base)
+        for _ in range(rng.randrange(0, 6)):
+            c[rng.randrange(len(c))] = f"e{rng.randrange(6)}"
+        texts.append(" ".join(c))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    split = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_report(docs).collect()}
+    idf = neardup.idf_table(docs, "text")
+    own, hashes, counts = neardup.shingles(texts)
+    w = neardup.weights(hashes, counts, idf)
+    cut = np.searchsorted(own, np.arange(len(texts) + 1))
+    vectors = [(hashes[a:b], w[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if neardup.weighted_jaccard(vectors[i], vectors[j]) >= 0.8:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert [split[i] for i in range(len(texts))] == label and len(set(label)) > 5
+
+
+def test_profiles_bound(spark):
+    """A profile never rules out a pair at or above the threshold."""
+    rng = random.Random(7)
+    texts = [" ".join(f"v{min(rng.randrange(50), rng.randrange(50))}" for _ in range(60)) for _ in range(40)]
+    texts += [" ".join(t.split()[: 60 - rng.randrange(4)]) for t in texts]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "key string, text string")
+    idf = np.ones(neardup.DF_SLOTS, np.float32)
+    held = {int(r["key"]): np.frombuffer(r["profile"], np.float16) for r in neardup._profiles(docs, idf).collect()}
+    own, hashes, counts = neardup.shingles(texts)
+    vectors = [(hashes[own == i], counts[own == i].astype(float)) for i in range(len(texts))]
+    profile, mass = np.stack([held[i] for i in range(len(texts))]), np.array([v[1].sum() for v in vectors])
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if neardup.weighted_jaccard(vectors[i], vectors[j]) >= 0.8]
+    assert len(pairs) > 20 and neardup._near_profiles(profile, mass, *map(np.array, zip(*pairs, strict=True)), 0.8).all()
+
+
+def test_long_texts(spark):
+    """Texts of hundreds of thousands of characters take time in proportion to their length."""
+    reps = 8000
+    docs = spark.createDataFrame([(1, "released under the mit license " * reps), (2, "call 12345 a@b.cd " * reps)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_report(docs).collect()}
+    assert got[1]["n_base"] == reps and got[1]["last_word"] == 5 * reps - 2 and got[1]["labels"] == "mit"
+    spans = {r["doc_id"]: r for r in pii.pii_report(docs).collect()}
+    assert spans[2]["n_email"] == reps and spans[2]["spans"].split(",")[reps - 1] == f"email:{18 * reps - 7}:{18 * reps - 1}"
+    assert pii.redact(docs).where("doc_id = 2").first()["text"].count("[email]") == reps
+
+
+def test_quality_digests(docs):
+    """The other columns of the rules, by plain loops."""
+    for r in quality.repetition_report(docs.where("doc_id is not null")).collect():
+        text = TEXTS[r["doc_id"]] or ""
+        w = ascii_words(text)
+        seen, dup = set(), 0
+        for line in text.split("\n"):
+            if ascii_words(line):
+                dup += line in seen
+                seen.add(line)
+        covered = set()
+        for i in range(len(w)):
+            for n in range(5, min(len(w) - i, 400) + 1):
+                if any(w[j : j + n] == w[i : i + n] for j in range(len(w) - n + 1) if j != i):
+                    covered |= set(range(i, i + n))
+                else:
+                    break
+        assert (r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup)
+        assert round(r["covered_fraction"] * len(w)) == len(covered)
+        assert r["kept"] == (not r["base_failed"] and len(covered) <= 0.4 * len(w) and r["longest_repeat"] <= 100)
+
+
+def test_gradients():
+    """The backward pass against differences of the loss."""
+    rng = np.random.default_rng(8)
+    net = toxicity.Network(np.zeros(toxicity.WORD_SLOTS), np.zeros(toxicity.GRAM_SLOTS))
+    v = toxicity.vocabulary(np.array(["alpha", "be", "gamma", "delta"], object))
+    net.p = {k: a.astype(np.float64) for k, a in net.p.items()}
+    at, length = rng.integers(0, 4, (3, 6)), np.array([6, 4, 2])
+    y, w = np.array([1.0, 0, 1]), np.array([0.5, 1, 0.25])
+
+    def loss():
+        p = toxicity.sigmoid(net.forward(net.inputs(v), at, length))
+        return float(-(w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / w.sum())
+
+    g = net.gradients(v, net.inputs(v), at, length, y, w)
+    for name in ("in", "bias", "state", "attend", "out", "shift", "word", "gram"):
+        flat = net.p[name].reshape(-1)
+        for i in np.argsort(-np.abs(g[name].reshape(-1)))[:4]:
+            held = flat[i]
+            flat[i] = held + 1e-3
+            up = loss()
+            flat[i] = held - 1e-3
+            down = loss()
+            flat[i] = held
+            assert abs((up - down) / 2e-3 - g[name].reshape(-1)[i]) < 2e-3 * max(1, abs(g[name]).max()), name
+
+
 def test_bpe_equals_tiktoken(docs):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
@@ -220,7 +348,7 @@ def test_bpe_equals_tiktoken(docs):
         ids = plain.encode_ordinary(text)
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-    tree = bpe.TreeBPE(path, public_tokenizers.PATTERN)
+    tree = bpe.TreeBPE(path, public_tokenizers.PATTERN, space_begins=True)
     rng = random.Random(4)
     for _ in range(300):
         text = "".join(rng.choice("aabeinrst ") for _ in range(rng.randrange(500)))
@@ -282,6 +410,8 @@ def test_empty_tables(spark):
     word, byte = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     for df in (
         quality.repetition_report(docs), licenses.license_report(docs), sharding.shard_report(docs), neardup.near_duplicate_report(docs), pii.pii_report(docs),
+        preference.format_pairs(preference.neighbour_pairs(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))),
+        quality.keep_quality(docs), toxicity.keep_harmless(docs, labels), neardup.keep_one(docs), pii.redact(docs),
         toxicity.toxicity_report(docs, labels), search.search_report(docs), bpe.token_digests(docs, byte, public_tokenizers.PATTERN), packing.piece_digests(packing.pack(docs, word)),
     ):
         assert df.count() == 0
@@ -296,3 +426,33 @@ def test_pipeline_stages(spark):
         after = stage(spark, docs, folder)
         assert after.columns == columns and 0 < after.count() <= docs.count(), name
         docs = after
+
+
+def test_pipeline_planted(spark, tmp_path):
+    """Every stage on planted rows: junk, toxic, copied and personal rows change, clean ones stay as they are; all ids are packed."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    clean = [" ".join(f"w{rng.randrange(900)}x" for _ in range(70)) for _ in range(60)]
+    rows = list(enumerate(clean))
+    rows += [(1000 + i, t + " vilewort nastyterm") for i, t in enumerate(" ".join(f"q{rng.randrange(900)}x" for _ in range(70)) for _ in range(60))]
+    rows += [(2000, clean[0]), (2001, clean[0] + " end"), (2002, "junk words " * 60), (2003, None), (2004, "short")]
+    rows += [(3000, " ".join(f"z{i}x" for i in range(60)) + " mail jo@mail.example.org today")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(i, int(i >= 1000)) for i, _ in rows if i < 1060]
+    spark.createDataFrame([(i, 1, t) for i, t in marks], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages, folder = dict(corpus_pipeline.STAGES), f"file://{tmp_path}"
+    ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
+    good = stages["quality_rules"](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert ids(good) == {i for i, _ in rows} - {2002, 2003, 2004}
+    harmless = stages["toxicity"](spark, good, folder)
+    assert ids(harmless) == set(range(60)) | {2000, 2001, 3000}
+    single = stages["near_duplicates"](spark, harmless, folder)
+    assert ids(single) == set(range(60)) | {3000}
+    cleared = stages["personal_data"](spark, single, folder)
+    texts = {r["doc_id"]: r["text"] for r in cleared.collect()}
+    assert all(texts[i] == clean[i] for i in range(60)) and texts[3000].endswith(" mail [email] today") and cleared.where("n_chars <> length(text)").count() == 0
+    pieces = corpus_pipeline.run(spark, folder).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert {r["doc_id"]: r["n"] for r in pieces} == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in texts.items()}
+    assert all(r["n"] == r["all"] for r in pieces)
