@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakespark.functions.columns import haversine_km, window_days, window_km
+from quakespark.operators.assembly import numbered
 from quakespark.operators.graph import connected_components
 from quakespark.session import materialise
 
@@ -41,7 +42,10 @@ def duplicate_clusters(events: DataFrame, seconds: float, km: float, delta_mag:
 
 
 def nearest_match(left: DataFrame, right: DataFrame, seconds: float, delta_mag: float) -> DataFrame:
-    """For every left event the right one closest by (time, magnitude, distance) within the bands, or null."""
+    """For every left event the right one closest by (time, magnitude, distance) within the bands, or null.
+
+    An unknown magnitude on either side lies within the band and counts as farther than any known one.
+    """
     bucket = F.floor(F.col("t") / seconds)
     a = left.select("id", "t", "mag", "lon", "lat", bucket.alias("bucket"))
     b = right.select(
@@ -50,11 +54,11 @@ def nearest_match(left: DataFrame, right: DataFrame, seconds: float, delta_mag:
     )
     c = F.col
     order = F.struct(
-        F.abs(c("t") - c("bt")).alias("dt"), F.round(F.abs(c("mag") - c("bm")), 6).alias("dm"),
+        F.abs(c("t") - c("bt")).alias("dt"), F.coalesce(F.round(F.abs(c("mag") - c("bm")), 6), F.lit(float("inf"))).alias("dm"),
         F.round(haversine_km(c("lat"), c("lon"), c("by"), c("bx")), 6).alias("km"), "match",
     )
     found = (
-        a.join(b, "bucket").where((F.abs(c("t") - c("bt")) <= seconds) & (F.abs(c("mag") - c("bm")) <= delta_mag + 1e-9))
+        a.join(b, "bucket").where((F.abs(c("t") - c("bt")) <= seconds) & F.coalesce(F.abs(c("mag") - c("bm")) <= delta_mag + 1e-9, F.lit(True)))
         .groupBy("id").agg(F.min(order).alias("best"))
     )
     return left.select("id").join(found, "id", "left").select("id", F.col("best.match").alias("match"), F.col("best.dt").alias("dt"), F.col("best.km").alias("km"))
@@ -99,8 +103,8 @@ def radius_pairs(events: DataFrame, cells: DataFrame, km: float) -> DataFrame:
     )
 
 
-def decluster(events: DataFrame, share: float = 1.0, bucket_days: float = 200.0, max_rounds: int = 80) -> DataFrame:
-    """Space-time window declustering: (id, is_mainshock, mainshock).
+def decluster(events: DataFrame, share: float = 1.0, bucket_days: float = 200.0, max_rounds: int = 80, since: float | None = None, least: float = 0.0) -> DataFrame:
+    """Space-time window declustering: (id, is_mainshock, mainshock, cluster_id).
 
     Events in order of falling magnitude, then time, then id are mainshocks unless they lie in the window of
     an earlier one. Equivalent without an order of work: an event is a mainshock exactly if no mainshock of
@@ -108,19 +112,26 @@ def decluster(events: DataFrame, share: float = 1.0, bucket_days: float = 200.0,
     whose reaching events are all settled are settled, until none is open. ``mainshock`` is the reaching
     mainshock of highest priority, or the event itself.
 
-    ``t`` is in days here. Fore-shocks count within ``share`` of the window.
+    ``t`` is in days here. Fore-shocks count within ``share`` of the window. Clusters are numbered from 1 in the order
+    of their mainshocks. Events without time or magnitude, before ``since`` or below ``least`` take no part: they
+    come back as mainshocks of their own, of cluster 0.
     """
     c = F.col
-    base = events.where("t is not null and mag is not null").select("id", "t", "mag", "lon", "lat")
+    part = c("t").isNotNull() & c("mag").isNotNull() & (c("mag") >= least)
+    part = F.coalesce(part if since is None else part & (c("t") >= since), F.lit(False))
+    base = events.where(part).select("id", "t", "mag", "lon", "lat")
+    band = F.floor("lat")  # of a degree; a seed goes to all bands that its window touches
+    span = window_km(c("mag")) / 111.0
     reach = window_days(c("mag"))
     seeds = base.select(
         c("id").alias("i"), c("t").alias("ti"), c("mag").alias("mi"), c("lon").alias("xi"), c("lat").alias("yi"),
         F.explode(F.sequence(F.floor((c("t") - share * reach) / bucket_days), F.floor((c("t") + reach) / bucket_days))).alias("bucket"),
-    )
-    hit = base.withColumn("bucket", F.floor(c("t") / bucket_days))
+        F.sequence(F.floor(c("lat") - span), F.floor(c("lat") + span)).alias("bands"),
+    ).withColumn("band", F.explode("bands")).drop("bands")
+    hit = base.withColumns({"bucket": F.floor(c("t") / bucket_days), "band": band})
     first = (c("mi") > c("mag")) | ((c("mi") == c("mag")) & ((c("ti") < c("t")) | ((c("ti") == c("t")) & (c("i") < c("id")))))
     edges = materialise(
-        seeds.join(hit, "bucket").where(first & (c("i") != c("id")))
+        seeds.join(hit, ["bucket", "band"]).where(first & (c("i") != c("id")))
         .where((c("t") - c("ti") <= window_days(c("mi"))) & (c("ti") - c("t") <= share * window_days(c("mi"))))
         .where(haversine_km(c("yi"), c("xi"), c("lat"), c("lon")) <= window_km(c("mi")))
         .select("i", "id", F.struct((-c("mi")).alias("m"), c("ti").alias("t"), c("i").alias("i")).alias("rank")).distinct(),
@@ -145,6 +156,9 @@ def decluster(events: DataFrame, share: float = 1.0, bucket_days: float = 200.0,
         raise RuntimeError(f"declustering did not settle in {max_rounds} rounds")
     mains = state.where("is_main = 1").select(c("id").alias("i"))
     owner = edges.join(mains, "i", "left_semi").groupBy("id").agg(F.min("rank").alias("rank"))
-    return state.join(owner, "id", "left").select(
+    found = state.join(owner, "id", "left").select(
         "id", (c("is_main") == 1).alias("is_mainshock"), F.when(c("is_main") == 1, c("id")).otherwise(c("rank.i")).alias("mainshock")
     )
+    ordered = numbered(base.select("id", "t", "mag").join(mains.withColumnRenamed("i", "id"), "id"), [c("mag").desc(), c("t"), c("id")], "cluster_id")
+    inside = found.join(ordered.select(c("id").alias("mainshock"), "cluster_id"), "mainshock").select("id", "is_mainshock", "mainshock", "cluster_id")
+    return inside.union(events.where(~part).select("id", F.lit(True), "id", F.lit(0).cast("long")))

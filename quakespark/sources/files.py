@@ -48,8 +48,10 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_moment_tensors(spark: SparkSession, path: str) -> DataFrame:
-    """Centroid moment tensors in the public five-line format: id, time, lon, lat, depth, moment (N m), mw, six components, two planes.
+    """Centroid moment tensors in the public five-line format: id, time, lat, lon, depth and their errors, moment (N m), mw, six components, two planes.
 
+    Time and place are the centroid's: the origin time with the shift of line 3 added, and the hypocentre only where line 3 has no
+    place. mw is rounded to one decimal. Lines 3 to 5 are read as numbers between white space. Events without an origin time are left out.
     Events are cut from whole files, which this format keeps to a month or some years each; lines after the
     last whole event of a file are left out.
     """
@@ -65,15 +67,26 @@ def read_moment_tensors(spark: SparkSession, path: str) -> DataFrame:
     def number(k: int, start: int, end: int) -> Column:
         return part(k, start, end).try_cast("double")
 
-    unit = F.pow(F.lit(10.0), number(3, 1, 2) - 7)  # from dyn cm
-    tensor = {n: number(3, 3 + 13 * i, 9 + 13 * i) * unit for i, n in enumerate(("Mrr", "Mtt", "Mpp", "Mrt", "Mrp", "Mtp"))}
-    planes = F.split(part(4, 58, 80), r"\s+")
-    moment = number(4, 50, 56) * unit
-    return held.select(
-        part(1, 1, 16).alias("id"), F.try_to_timestamp(F.concat_ws(" ", part(0, 6, 15), F.substring(part(0, 17, 26), 1, 8)), F.lit("yyyy/MM/dd HH:mm:ss")).alias("time"),
-        number(0, 28, 33).alias("lat"), number(0, 35, 41).alias("lon"), number(0, 43, 47).alias("depth"),
-        moment.alias("moment"), F.when(moment > 0, (F.log10(moment) - 9.1) / 1.5).alias("mw"), *(v.alias(n) for n, v in tensor.items()),
-        *(F.try_element_at(planes, F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(("strike1", "dip1", "rake1", "strike2", "dip2", "rake2"))),
+    def numbers(text: Column) -> Column:
+        return F.filter(F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
+
+    held = held.select(
+        "*", numbers(F.when(F.col("l2").contains("CENTROID:"), F.substring_index("l2", "CENTROID:", -1)).otherwise("")).alias("n2"),
+        numbers(F.col("l3")).alias("n3"), numbers(F.col("l4")).alias("n4"),
+    )
+    at = lambda k, i: F.get(f"n{k}", F.lit(i))
+    origin = F.try_to_timestamp(F.concat_ws(" ", part(0, 6, 15), F.substring(part(0, 17, 26), 1, 8)), F.lit("yyyy/MM/dd HH:mm:ss"))
+    second = F.coalesce(F.concat(F.lit("0."), F.regexp_extract(part(0, 17, 26), r"\.([0-9]+)", 1), F.lit("0")).try_cast("double"), F.lit(0.0))
+    micros = F.unix_micros(origin) + F.round((second + F.coalesce(at(2, 0), F.lit(0.0))) * 1e6).cast("long")
+    unit = F.pow(F.lit(10.0), at(3, 0) - 7)  # from dyn cm
+    tensor = {n: at(3, 2 * i + 1) * unit for i, n in enumerate(("Mrr", "Mtt", "Mpp", "Mrt", "Mrp", "Mtp"))}
+    moment = F.when(F.size("n4") >= 10, at(4, 9)) * unit
+    planes = {n: F.when(F.size("n4") >= 16, F.get("n4", F.size("n4") - 6 + i)) for i, n in enumerate(("strike1", "dip1", "rake1", "strike2", "dip2", "rake2"))}
+    centroid = {"lat": (2, number(0, 28, 33)), "lon": (4, number(0, 35, 41)), "depth": (6, number(0, 43, 47))}
+    return held.where(origin.isNotNull()).select(
+        part(1, 1, 16).alias("id"), F.timestamp_micros(micros).alias("time"), *(F.coalesce(at(2, i), header).alias(n) for n, (i, header) in centroid.items()),
+        *(at(2, i + 1).alias(f"{n}_error") for n, (i, _) in centroid.items()),
+        moment.alias("moment"), F.when(moment > 0, F.round((F.log10(moment) - 9.1) / 1.5, 1)).alias("mw"), *(v.alias(n) for n, v in tensor.items()), *(v.alias(n) for n, v in planes.items()),
     )
 
 

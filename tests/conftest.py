@@ -10,8 +10,12 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("P
 
 @pytest.fixture(scope="session")
 def spark():
+    from pyspark.sql import SparkSession
+
     from quakespark.session import build_session
 
+    SparkSession.builder.config("spark.ui.enabled", "false")
+
     session = build_session("tests", "local[4]", 4)
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -47,9 +47,17 @@ def test_decluster_equals_greedy(spark):
                 parent[o[0]] = e[0]
     got = C.decluster(spark.createDataFrame(events, "id long, t double, mag double, lon double, lat double")).collect()
     assert {r["id"]: r["mainshock"] for r in got} == parent
+    mains = [e[0] for e in order if parent[e[0]] == e[0]]
+    assert {r["id"]: r["cluster_id"] for r in got} == {k: mains.index(v) + 1 for k, v in parent.items()}
     assert {r["id"] for r in got if r["is_mainshock"]} == {k for k, v in parent.items() if k == v}
 
 
+def test_decluster_keeps_all_rows(spark):
+    rows = [(1, 0.0, 7.0, -70.0, -33.0), (2, 1.0, 5.0, -70.1, -33.0), (3, None, 5.0, -70.0, -33.0), (4, 2.0, None, -70.0, -33.0), (5, -900.0, 6.0, -70.0, -33.0), (6, 5000.0, 6.0, 10.0, 10.0)]
+    got = {r["id"]: tuple(r)[1:] for r in C.decluster(spark.createDataFrame(rows, "id long, t double, mag double, lon double, lat double"), since=-500.0).collect()}
+    assert got == {1: (True, 1, 1), 2: (False, 1, 1), 3: (True, 3, 0), 4: (True, 4, 0), 5: (True, 5, 0), 6: (True, 6, 2)}
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)]
