@@ -190,9 +190,8 @@ def find(docs: DataFrame, text: str = "text", spans: str = "__spans", **options)
     places = lambda spans: F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(s["text"]).alias("instance"), kind_of(s["text"]).alias("kind")
     ))
-    for kind in PATTERNS:
-        whole = whole.withColumn(f"__{kind}", places(base_spans(value, kind)))
-    held = materialise(whole.withColumn("__pieces", pieces(value)), "pii")
+    base = (places(base_spans(value, kind)).alias(f"__{kind}") for kind in PATTERNS)
+    held = materialise(whole.select("__doc", "__row", *base, pieces(value).alias("__pieces")), "pii")
     seen = materialise(occurrences(held), "occurrences")
     linked = seen.select(F.explode("patterns").alias("pattern"), "instance", "seed", "__row", "start", "end")
     edges = materialise(linked.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")), "graph")
