@@ -19,13 +19,14 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
         F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2)
         + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     )
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0))))
+    # least and greatest skip nulls
+    return F.when((lat1 + lon1 + lat2 + lon2).isNotNull(), 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.greatest(a, F.lit(0.0)), F.lit(1.0)))))
 
 
 def cosine_law_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance by the spherical law of cosines."""
     c = F.sin(F.radians(lat1)) * F.sin(F.radians(lat2)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.cos(F.radians(lon2 - lon1))
-    return EARTH_KM * F.acos(F.least(F.greatest(F.round(c, 12), F.lit(-1.0)), F.lit(1.0)))
+    return F.when((lat1 + lon1 + lat2 + lon2).isNotNull(), EARTH_KM * F.acos(F.least(F.greatest(F.round(c, 12), F.lit(-1.0)), F.lit(1.0))))
 
 
 def cell_area_km2(lon1: Column, lon2: Column, lat1: Column, lat2: Column) -> Column:
@@ -77,4 +78,5 @@ def window_days(m: Column) -> Column:
 def truncated_survival(m: Column, b: float, m_min: float, m_max: float) -> Column:
     """Share of events of a truncated Gutenberg-Richter law at or above m, within 0 and 1."""
     top = 10 ** (-b * m_max)
-    return F.greatest((F.pow(F.lit(10.0), -b * F.least(F.greatest(m, F.lit(m_min)), F.lit(m_max))) - top) / (10 ** (-b * m_min) - top), F.lit(0.0))
+    share = (F.pow(F.lit(10.0), -b * F.least(F.greatest(m, F.lit(m_min)), F.lit(m_max))) - top) / (10 ** (-b * m_min) - top)
+    return F.when(m.isNotNull(), F.greatest(share, F.lit(0.0)))

@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quakespark.functions.columns import wrap_longitude
+
 #: Columns of the unified catalog; the three errors are numbers or one of the words relocated, default.
 CATALOG = (
     "id string, time_iso string, longitude double, latitude double, depth double, mag double, mag_type string, lon_error string, lat_error string, depth_error string, "
@@ -113,3 +115,19 @@ def read_point_sources(spark: SparkSession, path: str) -> DataFrame:
         F.col("_id").alias("id"), F.col("_name").alias("name"), F.try_element_at(place, F.lit(1)).try_cast("double").alias("lon"), F.try_element_at(place, F.lit(2)).try_cast("double").alias("lat"),
         F.col(f"{law}._aValue").alias("a"), F.col(f"{law}._bValue").alias("b"), F.col(f"{law}._minMag").alias("m_min"), F.col(f"{law}._maxMag").alias("m_max"),
     )
+
+
+def read_forecast_events(spark: SparkSession, path: str) -> DataFrame:
+    """The first six columns (id, time, lon, lat, depth, mag) of catalogs, by position. Rows without time, place or
+    magnitude are left out; a missing depth is 0. A missing id stays null: lines of a split file have no number."""
+    names = ("id", "time", "lon", "lat", "depth", "mag")
+    lines = spark.read.option("header", True).option("enforceSchema", True).schema(", ".join(f"{n} string" for n in names)).csv(path)
+    c = {n: F.nullif(F.trim(n), F.lit("")) for n in names}
+    held = lines.select(c["id"].alias("id"), c["time"].try_cast("timestamp").alias("time"), *(c[n].try_cast("double").alias(n) for n in names[2:]))
+    return held.na.drop(subset=["time", "lon", "lat", "mag"]).na.fill(0.0, ["depth"])
+
+
+def read_xyz(spark: SparkSession, path: str, flip: bool = False) -> DataFrame:
+    """Nodes of "lon,lat,value" lines: longitudes of 0..360 become -180..180, ``flip`` changes the sign; lines without a value go."""
+    nodes = spark.read.schema("lon double, lat double, value double").csv(path).na.drop()
+    return nodes.where(~F.isnan("value")).select(wrap_longitude(F.col("lon")).alias("lon"), "lat", (-F.col("value") if flip else F.col("value")).alias("value"))
