@@ -1,4 +1,4 @@
-"""Focal mechanisms as column expressions, in east-north-up axes. Angles in degrees; null inputs give nulls."""
+"""Focal mechanisms as column expressions, in east-north-up axes. Angles in degrees; a null input gives null for all that depends on it."""
 
 from __future__ import annotations
 

@@ -118,7 +118,7 @@ def test_readers_of_events_and_grids(spark, tmp_path):
 def test_nulls_stay_null(spark):
     n, one = F.lit(None).cast("double"), F.lit(1.0)
     got = spark.range(1).select(
-        haversine_km(n, one, one, one), cosine_law_km(one, one, n, one), truncated_survival(n, 1.0, 5.0, 8.0), *ME.auxiliary_plane(n, one, one), *ME.principal_axes(n, one, one)["t"],
+        haversine_km(n, one, one, one), cosine_law_km(one, one, n, one), truncated_survival(n, 1.0, 5.0, 8.0), *ME.auxiliary_plane(one, n, one), *ME.principal_axes(one, n, one)["t"],
         ME.angle_between((n, one, one), (one, one, one)),
     ).first()
     assert all(v is None for v in got)
