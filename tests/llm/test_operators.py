@@ -211,6 +211,40 @@ def test_search_brute(spark):
         assert [x[0] for x in got[q]] == [i for _, i in sorted(scored)[:10]]
 
 
+def test_search_pivot(monkeypatch):
+    """A shard's answers under any threshold equal those of scoring every document, while only few postings are walked."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"v{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 80)) % 4000) for _ in range(900)]
+    texts += texts[:40] * 2  # ties
+    own, h, c, lengths = search.hashed_words(texts)
+    order = np.argsort(h, kind="stable")
+    words, df = np.unique(h, return_counts=True)
+    shard = search.Shard(words, df, own[order].astype(np.int32), c[order], lengths, lengths.mean())
+    assert (shard.row >= 0).any() and (shard.row < 0).any()
+    idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
+    walked = [0, 0]
+    sums = shard.sums
+
+    def counted(lists, weights):
+        walked[0] += int((shard.first[lists + 1] - shard.first[lists]).sum())
+        return sums(lists, weights)
+
+    for q in range(0, len(texts), 9):
+        terms = h[own == q]
+        at = np.searchsorted(words, terms)
+        every = sums(at, idf[at]) if len(at) else np.zeros(len(texts))
+        best = np.sort(every)[::-1]
+        monkeypatch.setattr(shard, "sums", counted)
+        for least in (0.0, best[9], best[3], best[0] + 1):
+            found, scores = shard.top(terms, idf[at], 10, least)
+            want = np.flatnonzero((every >= max(least, best[9])) & (every > 0))
+            assert sorted(found) == list(want) and np.array_equal(scores, every[found])
+            walked[1] += int(df[at].sum())
+        monkeypatch.setattr(shard, "sums", sums)
+        assert not shard.weight.any()
+    assert walked[0] < 0.8 * walked[1]
+
+
 def test_search_ids_and_ties(spark):
     """Null ids, ids beyond doubles, repeated ids and rows: ties by id, null last, each row an answer of its own."""
     big = 9007199254740993
