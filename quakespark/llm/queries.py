@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quakespark.llm import bpe, licenses, neardup, packing, pii, preference, quality, search, sharding, toxicity
+from quakespark.llm import bpe, licenses, mixing, neardup, packing, pii, preference, quality, repair, search, sharding, toxicity, trie
 from quakespark.llm.common import table
 
 
@@ -63,12 +63,25 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json")))
 
 
+def op11_stack_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_repetition, op2_license_index, op3_external_shuffle, op4_preference_format, op5_weighted_minhash,
         op6_bootstrapped_pii, op7_attentive_gru, op8_block_max_wand, op9_tree_bpe, op10_sum_of_squares,
+        op11_stack_repair, op12_systematic_mix, op13_prefix_trie,
     )
 }
 
-ORACLES: dict[str, str] = {"op4_preference_format": preference.ORACLE}
+ORACLES: dict[str, str] = {"op4_preference_format": preference.ORACLE, "op12_systematic_mix": mixing.ORACLE, "op13_prefix_trie": trie.ORACLE}
