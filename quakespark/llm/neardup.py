@@ -576,9 +576,11 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     discard(first, opened, known, heads)
     more = materialise(_links(pairs, held.select("key", "text").join(_ends(pairs), "key"), idf, threshold), "links")
     discard(pairs, held)
-    if not more.isEmpty():
-        label = connected_components(links.union(more), "a", "b")
-    whole = distinct.select("key", "id").join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("class_key", F.coalesce("component", "key"))
+    whole = distinct.select("key", "id").join(label.withColumnRenamed("node", "key"), "key", "left").select("key", "id", F.coalesce("component", "key").alias("class_key"))
+    if not more.isEmpty():  # links between classes that the first links made: only classes are merged
+        class_of = lambda side: whole.select(F.col("key").alias(side), F.col("class_key").alias(f"class_{side}"))
+        merged = connected_components(more.join(class_of("a"), "a").join(class_of("b"), "b").select("class_a", "class_b").distinct(), "class_a", "class_b")
+        whole = whole.join(merged.withColumnRenamed("node", "class_key"), "class_key", "left").select("key", "id", F.coalesce("component", "class_key").alias("class_key"))
     least = whole.groupBy("class_key").agg(F.min("id").alias("class_id"))
     found = materialise(whole.join(least, "class_key").select("key", "class_key", "class_id"), "classes")
     discard(distinct, links, more)
