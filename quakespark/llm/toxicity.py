@@ -10,10 +10,8 @@ Labels say that a text is toxic, not where. So training repeats: the window of e
 scores highest is a positive example; of each clean one, its highest and some random windows are negative
 examples. The bias is set at the end so that 0.5 separates the training texts best.
 
-The fit uses at most TRAIN_ROWS labelled texts of each class, those of the smallest hashed ids among the ids that
-have a text. Of a text longer than TRAIN_CHARS characters (a toxic one: TOXIC_CHARS, since a part of it may be
-clean) it takes passages of PASSAGE words at hashed places, up to that length. Ids choose rows but are never inputs.
-Scoring reads whole texts.
+The fit uses at most TRAIN_ROWS labelled texts of each class, whole, those of the smallest hashed ids among the ids that
+have a text; of rows that share an id, one. Ids choose rows but are never inputs. Scoring reads whole texts.
 
 Defined results: texts without words, null ones too, score 0; equal texts score alike; without labelled
 texts of both classes every text scores 0; columns of any name pass through.
@@ -30,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quakespark.llm.common import bound, mix64, steps, word_codes
+from quakespark.llm.common import mix64, steps, word_codes
 from quakespark.session import free_name
 
 WINDOW, STRIDE = 32, 16
@@ -40,8 +38,6 @@ WORD_DIM, GRAM_DIM = 4, 4
 GRAMS = (3, 5)
 INPUTS = WORD_DIM + GRAM_DIM + 3
 TRAIN_ROWS = 1000
-TRAIN_CHARS, TOXIC_CHARS = 6000, 24_000
-PASSAGE, PASSAGE_CHARS = 64, 600
 ROUNDS = 12
 SEED = 3
 ENDS = ".,;:!?#*$%&|<>\"'()[]{}=+-_/\\"
@@ -288,28 +284,18 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
-def passages(text: Column, most: Column) -> Column:
-    """The text, or, if it is longer than ``most`` characters, passages of it at hashed places, in their order, of at most so many together."""
-    words = F.split(text, r"[ \t\n\x0B\f\r]+")
-    numbered = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / PASSAGE).cast("int")), lambda b: F.struct(F.xxhash64(F.lit(SEED), b).alias("mark"), b.alias("b")))
-    chosen = lambda w: F.array_sort(F.transform(F.slice(F.array_sort(numbered(w)), F.lit(1), F.floor(most / PASSAGE_CHARS).cast("int")), lambda x: x["b"]))
-    cut = bound(words, lambda w: F.array_join(F.transform(chosen(w), lambda b: F.substring(F.array_join(F.slice(w, b * PASSAGE + 1, F.lit(PASSAGE)), " "), 1, PASSAGE_CHARS - 1)), " "))
-    return F.when(F.length(text) <= most, text).otherwise(cut)
-
-
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS, toxic_chars: int = TOXIC_CHARS) -> Network | None:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Network | None:
     """A network fitted to the bounded sample; rows held out are never in it.
 
-    The chosen ids are at most ``rows`` of each class, so they are broadcast, and at most their texts, cut to bounded lengths, reach the driver.
+    The chosen ids are at most ``rows`` of each class, so they are broadcast, and only their texts reach the driver.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("__id"), F.col(label).cast("int").alias("__y"))
-    mark = F.xxhash64(F.lit(SEED), "__id")
-    texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).where(F.length("__text") > 0)
-    present = known.distinct().join(texts.select("__id"), "__id", "left_semi")
-    chosen = present.where("__y = 1").orderBy(mark, "__id").limit(rows).union(present.where("__y = 0").orderBy(mark, "__id").limit(rows))
-    most = F.when(F.col("__y") == 1, toxic_chars).otherwise(chars)
-    sample = texts.join(F.broadcast(chosen), "__id").select("__id", "__y", passages(F.col("__text"), most).alias("__text")).orderBy(mark, "__id", "__text").limit(2 * rows).collect()
-    return train([r["__text"] for r in sample], np.array([r["__y"] for r in sample], np.int64))
+    known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
+    mark = F.xxhash64(F.lit(SEED), "id")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    present = known.groupBy("id").agg(F.max("y").alias("y")).join(texts.select("id"), "id", "left_semi")
+    chosen = present.where("y = 1").orderBy(mark, "id").limit(rows).union(present.where("y = 0").orderBy(mark, "id").limit(rows))
+    sample = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).orderBy(mark, "id").collect()
+    return train([r["text"] for r in sample], np.array([r["y"] for r in sample], np.int64))
 
 
 def toxicity(text: Column, spark, net: Network | None) -> Column:
