@@ -30,9 +30,9 @@ from quakespark.llm.memo import Memo
 
 LEAF = 6
 MEMO = 100_000
-#: A space that doesn't begin a word: before white space or the end.
 #: Ids that are decoded in one step.
 DECODE_IDS = 1 << 20
+#: A space that doesn't begin a word: before white space or the end.
 ODD_SPACE = re.compile(r" (?=\s|$)")
 
 
@@ -96,8 +96,10 @@ class TreeBPE:
     def tree(self, piece: bytes) -> list[int]:
         if len(piece) <= self.leaf:
             return self.merge(piece)
-        half = len(piece) // 2
-        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+        half = self.leaf << ((len(piece) - 1) // self.leaf).bit_length() - 1
+        left, right = piece[:half], piece[half:]
+        first = self.tree(left)
+        return self.join(first, first if left == right else self.tree(right))
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)

@@ -2,10 +2,11 @@
 
 The words of the licence templates form a small vocabulary. Its document frequencies over the whole
 corpus give inverse document frequencies (IDF). Each template posts the places of its words of highest
-IDF (at most POSTED, none below half of its highest). In a file, the words of highest IDF that have postings are looked up; each (template, place in the
-file minus place in the template) that they agree on is a candidate, scored by the share of the
-template's posted IDF that it holds. A candidate counts if the template's mandatory key phrase stands
-at the right place. Beside it, base phrases are found wherever their words stand consecutively.
+IDF (at most POSTED, none below half of its highest). In a file, its own LOOKED_UP words of highest IDF that have postings
+are looked up; each (template, place in the file minus place in the template) that one of them names is a candidate,
+scored by the share of the template's posted IDF whose words stand at their places. A candidate counts if the template's
+mandatory key phrase stands at the right place. A text of more than LOOKED_UP different posted words, which no
+single template has, may thus lose a template all of whose words are commoner than these. Beside it, base phrases are found wherever their words stand consecutively.
 
 All of it is column expressions; only the frequencies (one row for each vocabulary word) are shuffled
 or reach the driver. A null text counts as empty: no words, no labels, score 0. Equal rows get equal
@@ -22,8 +23,6 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quakespark.llm.common import bound
-
 #: Words of a text whose A-Z are lower-cased, and the same words in a text as it is.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -51,6 +50,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
 POSTED = 8
+LOOKED_UP = 32
 LEAST_SCORE = 0.6
 
 
@@ -94,36 +94,34 @@ def _starts(words: Column, phrase: str) -> Column:
     return F.when(F.array_contains(words, parts[-1]) & F.array_contains(words, parts[0]), F.filter(first, same)).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, text: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` with a struct column __scan: n_words, places (array<struct<at,label>>), found (array<struct<label,score,at>>)."""
-    posted = postings(idf(docs, text))
-    rare = F.array(*map(F.lit, sorted(posted)))
-    index = F.create_map(*(
-        x for w in sorted(posted) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i"), F.lit(s).alias("s")) for t, i, s in posted[w])))
-    ))
+def scan(docs: DataFrame, text: str = "text", name: str = "__scan", least_score: float = LEAST_SCORE, looked_up: int = LOOKED_UP) -> DataFrame:
+    """``docs`` with a struct column of the given name: n_words, places (array<struct<at,label>>), found (array<struct<label,score,at>>)."""
+    weights = idf(docs, text)
+    posted = postings(weights)
+    by_idf = F.array(*map(F.lit, sorted(posted, key=lambda w: (-weights[w], w))))
+    index = F.create_map(*(x for w in sorted(posted) for x in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for t, i, _ in posted[w])))))
+    of_template = [[(w, i, s) for w in sorted(posted) for u, i, s in posted[w] if u == t] for t in range(len(TEMPLATES))]
+    parts = F.array(*(F.array(*(F.struct(F.lit(w).alias("w"), F.lit(i).alias("i"), F.lit(s).alias("s")) for w, i, s in own)) for own in of_template))
     keys = F.array(*(F.struct(F.lit(label).alias("label"), F.array(*map(F.lit, phrase.split())).alias("words"), F.lit(len(re.split(rf"(?:^|\s){re.escape(phrase)}(?:\s|$)", body)[0].split())).alias("at")) for label, body, phrase in TEMPLATES))
     none = F.array().cast("array<struct<t:int,at:int,s:double>>")
-    step1 = docs.withColumn("__words", words_of(F.col(text)))
-    hits = F.filter(F.transform("__words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(rare, h["w"]))
-    votes = F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["i"]).alias("at"), q["s"].alias("s")))))
-    # votes of one (template, place) stand together once sorted; each run of them is summed by its places
-    summed = lambda v, low, high: F.aggregate(F.sequence(low, high - 1), F.lit(0.0), lambda total, i: total + F.get(v, i)["s"])
-    first = lambda v: F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i == 0) | (F.get(v, i)["t"] != F.get(v, i - 1)["t"]) | (F.get(v, i)["at"] != F.get(v, i - 1)["at"]))
-    run = lambda v, starts: F.transform(starts, lambda low, k: F.struct(
-        F.get(v, low)["t"].alias("t"), F.get(v, low)["at"].alias("at"), summed(v, low, F.coalesce(F.get(starts, k + 1), F.size(v))).alias("s")
-    ))
-    runs = bound(F.array_sort(votes), lambda v: F.when(F.size(v) > 0, F.filter(bound(first(v), lambda starts: run(v, starts)), lambda r: r["s"] >= least_score)))
-    step2 = step1.withColumn("__runs", F.when(F.arrays_overlap("__words", rare), F.coalesce(runs, none)).otherwise(none))
+    held = docs.select(F.struct(*docs.columns).alias("row"), words_of(F.col(text)).alias("words"))
+    # array_intersect keeps the order of its first array: the file's posted words, those of highest IDF first
+    step1 = held.withColumn("rare", F.slice(F.array_intersect(by_idf, "words"), 1, looked_up))
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains("rare", h["w"]))
+    votes = F.array_distinct(F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda q: F.struct(q["t"].alias("t"), (h["i"] - q["i"]).alias("at"))))))
+    stands = lambda v: lambda total, p: total + F.when(F.get(F.col("words"), F.greatest(v["at"] + p["i"], F.lit(0))).eqNullSafe(p["w"]) & (v["at"] + p["i"] >= 0), p["s"]).otherwise(0.0)
+    scored = F.transform(votes, lambda v: F.struct(v["t"].alias("t"), v["at"].alias("at"), F.aggregate(F.get(parts, v["t"]), F.lit(0.0), stands(v)).alias("s")))
+    step2 = step1.withColumn("runs", F.when(F.size("rare") > 0, F.array_sort(F.filter(scored, lambda r: r["s"] >= least_score))).otherwise(none))
     key = lambda r: F.element_at(keys, r["t"] + 1)
     at = lambda r: r["at"] + key(r)["at"]
-    verified = F.filter("__runs", lambda r: (at(r) >= 0) & F.forall(F.transform(key(r)["words"], lambda w, k: F.get(F.col("__words"), at(r) + k).eqNullSafe(w)), lambda same: same))
+    verified = F.filter("runs", lambda r: (at(r) >= 0) & F.forall(F.transform(key(r)["words"], lambda w, k: F.get(F.col("words"), at(r) + k).eqNullSafe(w)), lambda same: same))
     marked = lambda label: lambda i: F.struct(i.alias("at"), F.lit(label).alias("label"))
-    places = F.array_sort(F.concat(*(F.transform(_starts(F.col("__words"), phrase), marked(label)) for phrase, label in BASE.items())))
-    return step2.withColumn("__scan", F.struct(
-        F.size("__words").cast("long").alias("n_words"),
+    places = F.array_sort(F.concat(*(F.transform(_starts(F.col("words"), phrase), marked(label)) for phrase, label in BASE.items())))
+    return step2.select("row", F.struct(
+        F.size("words").cast("long").alias("n_words"),
         places.alias("places"),
         F.transform(verified, lambda r: F.struct(key(r)["label"].alias("label"), F.least(F.round(r["s"], 6), F.lit(1.0)).alias("score"), r["at"].alias("at"))).alias("found"),
-    )).drop("__words", "__runs")
+    ).alias("scan")).select("row.*", F.col("scan").alias(name))
 
 
 def license_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
