@@ -120,13 +120,18 @@ def planes_of_tensor(df: DataFrame, names: tuple[str, ...], out: tuple[str, ...]
 
 def interface_like(planes: list[tuple[Column, Column, Column]], slab_strike: Column, slab_dip: Column, convergence: float, normal_cone: float = 35.0, slip_cone: float = 90.0) -> Column:
     """True if the normal of either plane lies within a cone about the slab's, of any sign, and its slip within one about
-    the convergence as projected on the plane; a plane with a null part, or square to the convergence, doesn't pass."""
+    the convergence as projected on the plane; a plane with a null part, or square to the convergence, doesn't pass.
+
+    The rake is turned from the strike towards the dip here, so that the slip of a thrust is that of the plate below,
+    which moves with the convergence.
+    """
     az = math.radians(convergence)
     moved = (F.lit(math.sin(az)), F.lit(math.cos(az)), F.lit(0.0))
     _, slab = slip_and_normal(slab_strike, slab_dip, F.lit(0.0))
     passed = []
     for plane in planes:
-        slip, normal = slip_and_normal(*plane)
+        strike, dip, rake = plane
+        slip, normal = slip_and_normal(strike, dip, -rake)
         across = _dot(moved, normal)
         on_plane = tuple(m - across * n for m, n in zip(moved, normal, strict=True))
         like = (angle_between(normal, slab, oriented=False) <= normal_cone) & (_dot(on_plane, on_plane) > 1e-12) & (angle_between(slip, on_plane) <= slip_cone)

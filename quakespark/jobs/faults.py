@@ -223,7 +223,7 @@ SELECT fault, form, model, branch, round(rate, 8) AS rate, round((log10(rate * u
 SELECT id, CASE WHEN a <= d THEN a ELSE d END AS s1, CASE WHEN a <= d THEN b ELSE e END AS d1, CASE WHEN a <= d THEN c ELSE f END AS r1,
   CASE WHEN a <= d THEN d ELSE a END AS s2, CASE WHEN a <= d THEN e ELSE b END AS d2, CASE WHEN a <= d THEN f ELSE c END AS r2 FROM two""",
     "f18_interface_mechanism": f"""WITH {DUCK_PLANES}, v AS (SELECT *, {_VECTORS}, 10.25e0 + id % 30 AS slab FROM pl),
-w AS (SELECT *, cos(radians(4)) * sin(radians(slab)) AS e, -sin(radians(4)) * sin(radians(slab)) AS n, cos(radians(slab)) AS u FROM v)
-SELECT id, (abs(ne * e + nn * n + nu * u) >= cos(radians(35)) AND se * sin(radians(78)) + sn * cos(radians(78)) >= 0)
-  OR (abs(se * e + sn * n + su * u) >= cos(radians(35)) AND (ne * sin(radians(78)) + nn * cos(radians(78))) * CASE WHEN su < 0 THEN -1 ELSE 1 END >= 0) AS "like" FROM w""",
+w AS (SELECT *, cos(radians(4)) * sin(radians(slab)) AS e, -sin(radians(4)) * sin(radians(slab)) AS n, cos(radians(slab)) AS u FROM v), q AS (SELECT *, se * sin(radians(strike)) + sn * cos(radians(strike)) AS q, (nn * se - ne * sn) / (se * se + sn * sn) AS w, CASE WHEN su < 0 THEN -1 ELSE 1 END AS k FROM w)
+SELECT id, (abs(ne * e + nn * n + nu * u) >= cos(radians(35)) AND (2 * q * sin(radians(strike)) - se) * sin(radians(78)) + (2 * q * cos(radians(strike)) - sn) * cos(radians(78)) >= 0)
+  OR (abs(se * e + sn * n + su * u) >= cos(radians(35)) AND k * ((-2 * sn * w - ne) * sin(radians(78)) + (2 * se * w - nn) * cos(radians(78))) >= 0) AS "like" FROM q""",
 }
