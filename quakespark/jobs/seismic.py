@@ -91,8 +91,17 @@ def g03_decluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.decluster(cat)
 
 
+METHODS = {"gk74": ("gk74", 0.5), "gk74_sym": ("gk74", 1.0), "uhrhammer": ("uhrhammer", 0.5), "gruenthal": ("gruenthal", 0.5)}
+
+
+def g05_decluster_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each method's sizes, and the large events that it removes."""
+    cat = load_catalog(spark, sf_dir).withColumn("t", F.col("t") / 86400 * 1500)
+    return C.decluster_variants(cat, METHODS, keep=[7, 77], large=8.0)[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _shared(v) for k, v in SHARED.items()} | {
-    f.__name__: f for f in (j02_band_join, j03_duplicate_clusters, j04_nearest_match, j08_inside_polygon, j11_last_window, g03_decluster)
+    f.__name__: f for f in (j02_band_join, j03_duplicate_clusters, j04_nearest_match, j08_inside_polygon, j11_last_window, g03_decluster, g05_decluster_variants)
 }
 
 KM = "2 * 6371.0 * asin(sqrt(least(greatest(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2), 0.0), 1.0)))"

@@ -5,13 +5,16 @@ A catalog has id, cls, mag, lon, lat, depth, t (seconds) and yr (decimal year).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quakespark.functions.columns import haversine_km, window_days, window_km
 from quakespark.operators.assembly import numbered
 from quakespark.operators.graph import connected_components
-from quakespark.session import materialise
+from quakespark.operators.grids import method_windows
+from quakespark.session import discard, materialise
 
 
 def band_pairs(events: DataFrame, seconds: float, km: float, delta_mag: float) -> DataFrame:
@@ -103,62 +106,110 @@ def radius_pairs(events: DataFrame, cells: DataFrame, km: float) -> DataFrame:
     )
 
 
-def decluster(events: DataFrame, share: float = 1.0, bucket_days: float = 200.0, max_rounds: int = 80, since: float | None = None, least: float = 0.0) -> DataFrame:
+def gk_windows(m: Column) -> tuple[Column, Column]:
+    """Km and days of the windows of 1974."""
+    return window_km(m), window_days(m)
+
+
+def decluster(
+    events: DataFrame, share: float = 1.0, bucket_days: float = 200.0, max_rounds: int = 80, since: float | None = None, least: float = 0.0,
+    windows: Callable[[Column], tuple[Column, Column]] = gk_windows, within: str | None = None, share_of: Column | None = None,
+) -> DataFrame:
     """Space-time window declustering: (id, is_mainshock, mainshock, cluster_id).
 
     Events in order of falling magnitude, then time, then id are mainshocks unless they lie in the window of
     an earlier one. Equivalent without an order of work: an event is a mainshock exactly if no mainshock of
-    higher priority reaches it. All reaching pairs are joined once, by bucketed time; then in rounds those
+    higher priority reaches it. All reaching pairs are joined once, by bucketed time and tiles of a degree; then in rounds those
     whose reaching events are all settled are settled, until none is open. ``mainshock`` is the reaching
     mainshock of highest priority, or the event itself.
 
-    ``t`` is in days here. Fore-shocks count within ``share`` of the window. Clusters are numbered from 1 in the order
-    of their mainshocks. Events without time or magnitude, before ``since`` or below ``least`` take no part: they
-    come back as mainshocks of their own, of cluster 0.
+    ``t`` is in days here. ``windows`` gives km and days of a magnitude. Fore-shocks count within ``share`` of the days (``share_of``:
+    a column instead). Clusters are numbered from 1 in the order of their mainshocks. Events without a place meet no others. Events without time or magnitude, before
+    ``since`` or below ``least`` take no part: they come back as mainshocks of their own, of cluster 0. With ``within``, a column, events
+    only meet others of its value, and clusters are numbered in each; ``windows`` and ``share_of`` may then depend on it.
     """
     c = F.col
+    group = [within] if within else []
     part = c("t").isNotNull() & c("mag").isNotNull() & (c("mag") >= least)
     part = F.coalesce(part if since is None else part & (c("t") >= since), F.lit(False))
-    base = events.where(part).select("id", "t", "mag", "lon", "lat")
-    band = F.floor("lat")  # of a degree; a seed goes to all bands that its window touches
-    span = window_km(c("mag")) / 111.0
-    reach = window_days(c("mag"))
-    seeds = base.select(
-        c("id").alias("i"), c("t").alias("ti"), c("mag").alias("mi"), c("lon").alias("xi"), c("lat").alias("yi"),
-        F.explode(F.sequence(F.floor((c("t") - share * reach) / bucket_days), F.floor((c("t") + reach) / bucket_days))).alias("bucket"),
-        F.sequence(F.floor(c("lat") - span), F.floor(c("lat") + span)).alias("bands"),
-    ).withColumn("band", F.explode("bands")).drop("bands")
-    hit = base.withColumns({"bucket": F.floor(c("t") / bucket_days), "band": band})
+    km, days = windows(c("mag"))
+    before = (F.lit(share) if share_of is None else share_of) * days
+    base = materialise(events.where(part).select(*group, "id", "t", "mag", "lon", "lat", km.alias("km"), days.alias("days"), before.alias("before")), "events")
+    span = c("km") / 111.0
+    # a degree of longitude is least where the window lies nearest to a pole; from 80 degrees on the window goes around
+    poleward = F.least(F.abs("lat") + span, F.lit(89.0))
+    wide = F.when(poleward < 80, span / F.cos(F.radians(poleward)) + 1e-6).otherwise(180.0)
+    columns = F.when(wide >= 179, F.sequence(F.lit(0), F.lit(359))).otherwise(F.transform(F.sequence(F.floor(c("lon") - wide).cast("int"), F.floor(c("lon") + wide).cast("int")), lambda x: F.pmod(x, F.lit(360))))
+    seeds = (
+        base.withColumn("bucket", F.explode(F.sequence(F.floor((c("t") - c("before")) / bucket_days), F.floor((c("t") + c("days")) / bucket_days))))
+        .withColumn("band", F.explode(F.sequence(F.floor(c("lat") - span), F.floor(c("lat") + span)))).withColumn("column", F.explode(F.array_distinct(columns)))
+        .select(*group, "bucket", "band", "column", c("id").alias("i"), c("t").alias("ti"), c("mag").alias("mi"), c("lon").alias("xi"), c("lat").alias("yi"), c("km").alias("reach"), c("days").alias("after"), c("before").alias("ahead"))
+    )
+    hit = base.select(*group, "id", "t", "mag", "lon", "lat", F.floor(c("t") / bucket_days).alias("bucket"), F.floor("lat").alias("band"), F.pmod(F.floor("lon").cast("int"), F.lit(360)).alias("column"))
     first = (c("mi") > c("mag")) | ((c("mi") == c("mag")) & ((c("ti") < c("t")) | ((c("ti") == c("t")) & (c("i") < c("id")))))
     edges = materialise(
-        seeds.join(hit, ["bucket", "band"]).where(first & (c("i") != c("id")))
-        .where((c("t") - c("ti") <= window_days(c("mi"))) & (c("ti") - c("t") <= share * window_days(c("mi"))))
-        .where(haversine_km(c("yi"), c("xi"), c("lat"), c("lon")) <= window_km(c("mi")))
-        .select("i", "id", F.struct((-c("mi")).alias("m"), c("ti").alias("t"), c("i").alias("i")).alias("rank")).distinct(),
+        seeds.join(hit, [*group, "bucket", "band", "column"]).where(first & (c("i") != c("id")))
+        .where((c("t") - c("ti") <= c("after")) & (c("ti") - c("t") <= c("ahead")))
+        .where(haversine_km(c("yi"), c("xi"), c("lat"), c("lon")) <= c("reach"))
+        .select(*group, "i", "id", F.struct((-c("mi")).alias("m"), c("ti").alias("t"), c("i").alias("i")).alias("rank")).distinct(),
         "reach",
     )
-    state = materialise(base.select("id", F.lit(0).alias("is_main")), "state")  # 0 open, 1 mainshock, -1 member
+    state = materialise(base.select(*group, "id", F.lit(0).alias("is_main")), "state")  # 0 open, 1 mainshock, -1 member
     for _ in range(max_rounds):
         told = (
-            edges.join(state.select(c("id").alias("i"), c("is_main").alias("seed")), "i")
-            .groupBy("id").agg(F.max("seed").alias("top"), F.min((c("seed") == 0).cast("int") * -1).alias("open"))
+            edges.join(state.select(*group, c("id").alias("i"), c("is_main").alias("seed")), [*group, "i"])
+            .groupBy(*group, "id").agg(F.max("seed").alias("top"), F.min((c("seed") == 0).cast("int") * -1).alias("open"))
         )
-        state = materialise(
-            state.join(told, "id", "left").select(
-                "id",
+        spent, state = state, materialise(
+            state.join(told, [*group, "id"], "left").select(
+                *group, "id",
                 F.when(c("is_main") != 0, c("is_main")).when(c("top") == 1, -1).when(F.coalesce("open", F.lit(0)) == 0, 1).otherwise(0).alias("is_main"),
             ),
             "state",
         )
+        discard(spent)
         if state.where("is_main = 0").isEmpty():
             break
     else:
         raise RuntimeError(f"declustering did not settle in {max_rounds} rounds")
-    mains = state.where("is_main = 1").select(c("id").alias("i"))
-    owner = edges.join(mains, "i", "left_semi").groupBy("id").agg(F.min("rank").alias("rank"))
-    found = state.join(owner, "id", "left").select(
-        "id", (c("is_main") == 1).alias("is_mainshock"), F.when(c("is_main") == 1, c("id")).otherwise(c("rank.i")).alias("mainshock")
+    mains = state.where("is_main = 1").select(*group, c("id").alias("i"))
+    owner = edges.join(mains, [*group, "i"], "left_semi").groupBy(*group, "id").agg(F.min("rank").alias("rank"))
+    found = state.join(owner, [*group, "id"], "left").select(
+        *group, "id", (c("is_main") == 1).alias("is_mainshock"), F.when(c("is_main") == 1, c("id")).otherwise(c("rank.i")).alias("mainshock")
+    )
+    ordered = numbered(base.select(*group, "id", "t", "mag").join(mains.withColumnRenamed("i", "id"), [*group, "id"]), [*map(c, group), c("mag").desc(), c("t"), c("id")], "cluster_id")
+    if within:  # from 1 in each group
+        lowest = ordered.groupBy(within).agg(F.min("cluster_id").alias("lowest"))
+        ordered = ordered.join(lowest, within).withColumn("cluster_id", c("cluster_id") - c("lowest") + 1)
+    inside = found.join(ordered.select(*group, c("id").alias("mainshock"), "cluster_id"), [*group, "mainshock"]).select(*group, "id", "is_mainshock", "mainshock", "cluster_id")
+    out = materialise(inside.union(events.where(~part).select(*group, "id", F.lit(True), "id", F.lit(0).cast("long"))), "clusters")
+    discard(base, edges, state, ordered)
+    return out
+
+
+def decluster_variants(events: DataFrame, methods: dict[str, tuple[str, float]], keep: list | None = None, large: float = 7.0, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events by method, summary, review) of several declusterings as one fixpoint over (method, id).
+
+    methods: name: (windows, share of them before a mainshock). Events of ``keep`` count as mainshocks of every method at last.
+    summary: method, n_in, n_main, removed (share), n_large_main, n_large_removed; review: each event of at least ``large`` that a
+    method removes, with the mainshock of its cluster, days after it and km from it, before ``keep`` is applied.
+    """
+    c = F.col
+    each = events.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    of = lambda pick: F.coalesce(*(F.when(c("method") == n, pick(v)) for n, v in methods.items()))
+    windows = lambda m: tuple(of(lambda v: method_windows(m, v[0])[k]) for k in (0, 1))  # noqa: B023, E731
+    found = decluster(each, windows=windows, within="method", share_of=of(lambda v: F.lit(float(v[1]))), **options)
+    side = lambda p: events.select(c("id").alias(f"{p}id"), *(c(n).alias(f"{p}{n}") for n in ("t", "mag", "lon", "lat")))
+    own = found.join(side(""), "id")
+    review = (
+        own.where(~c("is_mainshock") & (c("mag") >= large)).join(side("parent_"), c("mainshock") == c("parent_id"))
+        .select("method", "id", "mag", "parent_id", "parent_mag", (c("t") - c("parent_t")).alias("days"), haversine_km(c("lat"), c("lon"), c("parent_lat"), c("parent_lon")).alias("km"))
+    )
+    kept = own.withColumn("is_mainshock", c("is_mainshock") | c("id").isin(keep)) if keep else own
+    gone = review.groupBy("method").agg(F.count(F.lit(1)).alias("n_large_removed"))
+    summary = (
+        kept.groupBy("method").agg(F.count(F.lit(1)).alias("n_in"), F.count(F.when(c("is_mainshock"), 1)).alias("n_main"), F.count(F.when(c("is_mainshock") & (c("mag") >= large), 1)).alias("n_large_main"))
+        .join(gone, "method", "left")
+        .select("method", "n_in", "n_main", (1 - c("n_main") / c("n_in")).alias("removed"), "n_large_main", F.coalesce("n_large_removed", F.lit(0)).alias("n_large_removed"))
     )
-    ordered = numbered(base.select("id", "t", "mag").join(mains.withColumnRenamed("i", "id"), "id"), [c("mag").desc(), c("t"), c("id")], "cluster_id")
-    inside = found.join(ordered.select(c("id").alias("mainshock"), "cluster_id"), "mainshock").select("id", "is_mainshock", "mainshock", "cluster_id")
-    return inside.union(events.where(~part).select("id", F.lit(True), "id", F.lit(0).cast("long")))
+    return kept.select("method", "id", "is_mainshock", "mainshock", "cluster_id"), summary, review
