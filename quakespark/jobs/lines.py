@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quakespark.jobs.faults import _FAULTS, load_faults
 from quakespark.jobs.seismic import KM
+from quakespark.operators import grids as G
 from quakespark.operators import lines as L
 from quakespark.operators import recurrence as R
 
@@ -17,6 +18,16 @@ PIECE, BANDS = 10.0, [-56.0 + 2.15 * k for k in range(20)]
 M_MIN, STEP = 6.0, 0.1
 
 
+KINDS = ("Reverse", " sinistral ", "dextral-Normal", "oblique", "normal", "SINISTRAL-REVERSE")
+
+
+def f28_rakes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rakes of faults whose written rupture type comes from their key; each seventh has none."""
+    k = F.col("fault")
+    kind = F.when(k % 7 != 0, F.element_at(F.array(*map(F.lit, KINDS)), (k % len(KINDS) + 1).cast("int")))
+    return load_faults(spark, sf_dir).select("fault", G.rake_of(kind).alias("rake"))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = lambda p, i: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), (10.0 * i + F.col("fault") % 5).alias("depth"))
     return load_faults(spark, sf_dir).select(F.col("fault").alias("edge"), F.transform("trace", node).alias("nodes"))
@@ -49,7 +60,7 @@ def m14_slip_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kind", "fault", F.col("bin").cast("long").alias("bin"), F.round("rate", 9).alias("rate"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (f26_cut_edges, s16_split_traces, m14_slip_rates)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (f26_cut_edges, s16_split_traces, m14_slip_rates, f28_rakes)}
 
 #: st: steps of the traces, from one node to the next.
 _STEPS = f"""{_FAULTS}, nd AS (SELECT fault, 0 AS i, x0 AS lon, y0 AS lat FROM fault UNION ALL SELECT fault, 1, x1, y1 FROM fault UNION ALL SELECT fault, 2, x2, y2 FROM fault),
@@ -73,6 +84,7 @@ _LOW = M_MIN - STEP / 2
 #: The characteristic law per unit of its density at the start: exponential to m_max - 0.5, then flat.
 _TAIL = lambda m: f"(CASE WHEN {m} < m_max - 0.5 THEN (pow(10, -b * ({m} - {_LOW})) - pow(10, -b * (m_max - 0.5 - {_LOW}))) / (b * {_LN}) + flat * 0.5 ELSE flat * greatest(m_max - ({m}), 0) END)"
 ORACLES: dict[str, str] = {
+    "f28_rakes": f"WITH {_FAULTS} SELECT fault, CASE WHEN fault % 7 = 0 THEN 90 ELSE [90, 0, -135, 90, -90, 45][fault % 6 + 1] END::DOUBLE AS rake FROM fault",
     "f26_cut_edges": f"""WITH {_STEPS}, w AS (SELECT fault, min(lat) AS s, max(lat2) AS n FROM st GROUP BY fault),
       d AS (SELECT fault, lon, lat, depth, lon2, lat2, depth + 10 AS depth2 FROM st), c AS (SELECT segment, w.fault, greatest(low, s) AS low, least(high, n) AS high FROM w JOIN {_BANDS} ON s < high AND n > low)
       SELECT segment, c.fault AS edge, 2 + (SELECT count(*) FROM nd WHERE nd.fault = c.fault AND nd.lat > c.low + 1e-9 AND nd.lat < c.high - 1e-9) AS n,

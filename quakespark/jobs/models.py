@@ -162,6 +162,15 @@ def m04_kernel_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(smoothing.kernel_field(cat.join(radius, ["lon", "lat"]), cells))
 
 
+def m05_whole_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cat = load_catalog(spark, sf_dir).withColumn("weight", F.lit(1.0))
+    places = cat.groupBy("lon", "lat").agg(F.min("id").alias("pid"))
+    radius = places.join(smoothing.kth_neighbour(places, 15), "pid").select("lon", "lat", F.greatest("d", F.lit(5.0)).alias("d"))
+    x, y = F.floor("lon"), F.floor("lat")
+    cells = cat.select(x.alias("x"), y.alias("y")).distinct().select((F.col("x") * 1000 + F.col("y")).alias("cell"), (F.col("x") + 0.5).alias("lon"), (F.col("y") + 0.5).alias("lat"))
+    return _rounded(smoothing.whole_field(cat.join(radius, ["lon", "lat"]), cells, to_one=True))
+
+
 def r04_weichert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rates.weichert(sql(spark, sf_dir, f"SELECT * FROM {BINS} x"), "cls"))
 
@@ -227,7 +236,7 @@ def _named(*found: Callable) -> dict[str, Callable[[SparkSession, str], DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _shared(v) for k, v in SHARED.items()} | _named(
     a04_density_histogram, a12_plane_collapse, w07_duplicate_labels,
-    p13_long_bins, w05_forward_fill, w08_kth_neighbour, m04_kernel_field, r04_weichert, r07_bootstrap_b, m12_balanced_rates, m18_joint_likelihood,
+    p13_long_bins, w05_forward_fill, w08_kth_neighbour, m04_kernel_field, m05_whole_field, r04_weichert, r07_bootstrap_b, m12_balanced_rates, m18_joint_likelihood,
     m21_number_test, h01_hazard_map, h02_branch_statistics, h05_map_difference, h06_spectrum, f16_principal_axes,
 )
 

@@ -109,6 +109,11 @@ def depth_range(events: DataFrame, nodes: DataFrame, fallback: DataFrame, wide:
     return events.select("id").join(met, "id", "left").join(fallback.select("id", "depth"), "id", "left").select("id", F.coalesce("low", "depth").alias("low"), F.coalesce("high", "depth").alias("high"))
 
 
+def rake_of(kind: Column, default: float = 90.0) -> Column:
+    """The rake of a rupture type, in any case of letters and with spaces around; types that aren't known, and nulls, have the default."""
+    return F.coalesce(F.create_map(*(F.lit(v) for pair in RAKES.items() for v in pair))[F.lower(F.trim(kind))], F.lit(default))
+
+
 def is_default_mechanism(values: dict[str, Column] | None = None, slack: float = 1e-6) -> Column:
     """Whether six plane angles are the stand-in for an unknown mechanism; false if one is missing."""
     held = values or {n: F.col(n) for n in PLANES}
