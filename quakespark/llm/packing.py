@@ -30,7 +30,7 @@ from quakespark.llm.memo import Memo
 
 WINDOW = 2048
 END_ID = 1
-MEMO = 400_000
+MEMO = 200_000
 #: Signs that the tokenizer splits from the letters before them, whatever they are; not ' and <, which can begin more.
 SIGNS = ".,!?;:#$%&*()[]{}+-=/|@^_~"
 #: Open windows of a task; beyond them all are merged by cutting, as at the end. Random sizes keep far fewer open.
