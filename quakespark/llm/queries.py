@@ -64,7 +64,7 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_stack_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.repair_report(repair.damage(table(spark, sf_dir, "conversations")))
+    return repair.repair_report(repair.damage(table(spark, sf_dir, "conversations"))).drop("repaired_roles")
 
 
 def op12_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {"op4_preference_format": preference.ORACLE, "op12_systematic_mix": mixing.ORACLE, "op13_prefix_trie": trie.ORACLE}
+ORACLES: dict[str, str] = {"op4_preference_format": preference.ORACLE, "op11_stack_repair": repair.ORACLE, "op12_systematic_mix": mixing.ORACLE, "op13_prefix_trie": trie.ORACLE}

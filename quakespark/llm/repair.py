@@ -122,7 +122,6 @@ class Repair:
         self.trace = bytearray()
         self.seen: set[bytes] = set()
         self.turns: set[int] = set()
-        self.least = self.most = None
         self.blank = self.duplicate = self.truncated = self.illegal = 0
         self.before: str | None = None
 
@@ -262,3 +261,44 @@ def repaired_turns(rows: DataFrame) -> DataFrame:
     initial: Column = F.substring(steps["repaired_roles"], steps["place"].cast("int") + 1, F.lit(1))
     named = F.when(steps["edit"] == "K", own("role")).when(initial == "u", NAMES["u"]).otherwise(NAMES["a"])
     return joined.select(steps["conv_id"], steps["place"], named.alias("role"), F.coalesce(own("text"), F.lit("")).alias("text"), steps["edit"])
+
+
+def _oracle() -> str:
+    """SQL for op11: whole stacks of strings, one row for each top, moved on by one row of every conversation at a time."""
+    values = lambda rows: "VALUES " + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    inserted = values([(p, q, "I" * len(put), "".join("~" + NAMES[r] + ":" for r in put)) for p, own in INSERTIONS.items() for q, put in own])
+    shifted = values([(p, x, q) for (p, x), q in SHIFT.items()])
+    blanks = r"[\x20\x09-\x0D]"
+    ascii_sum = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda h, b: list_reduce(list_prepend(xor(h, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))"
+    return f"""
+WITH RECURSIVE h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, xor({ascii_sum}, 4294967295) % 20 AS kind FROM h), (VALUES (0), (1)) c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS x, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+  NOT regexp_matches(text, '[.!?]{blanks}*$') OR NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+g AS (SELECT *, blank OR again AS forced, CASE WHEN cut AND NOT blank AND NOT again THEN {TRUNCATED_COST} ELSE 0 END AS fee FROM f),
+ins(p, q, l, put) AS ({inserted}), sh(p, x, q) AS ({shifted}),
+act AS (SELECT ins.p, ins.q, l || 'D' AS l, put, {COSTS['I']} * length(l) + {COSTS['D']} AS price, 'D' AS kind, '' AS x FROM ins
+  UNION ALL SELECT ins.p, sh.q, l || 'K', put, {COSTS['I']} * length(l) + {COSTS['K']}, 'K', sh.x FROM ins JOIN sh ON sh.p = ins.q
+  UNION ALL SELECT ins.p, sh.q, l || 'R', put, {COSTS['I']} * length(l) + {COSTS['R']}, 'R', sh.x FROM ins JOIN sh ON sh.p = ins.q AND sh.x <> 's'),
+r AS (
+  SELECT DISTINCT conv_id, 0::BIGINT AS i, {START} AS top, 0 AS cost, '' AS audit, '' AS shown FROM h
+  UNION ALL
+  SELECT conv_id, i, top, cost, audit, shown FROM (
+    SELECT r.conv_id, g.i, act.q AS top, r.cost + price + CASE act.kind WHEN 'D' THEN 0 ELSE fee END AS cost, r.audit || l AS audit,
+      r.shown || replace(put, '~', chr(10)) || CASE act.kind WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || CASE act.x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text END AS shown,
+      row_number() OVER (PARTITION BY r.conv_id, act.q ORDER BY r.cost + price + CASE act.kind WHEN 'D' THEN 0 ELSE fee END, r.audit || l) AS k
+    FROM r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i + 1 JOIN act ON act.p = r.top AND (act.kind = 'D' OR NOT forced AND (act.kind = 'R' OR act.x = g.x))) WHERE k = 1),
+e AS (SELECT r.conv_id, r.cost + {COSTS['I']} * length(l) AS cost, audit || l AS audit, shown || replace(put, '~', chr(10)) AS shown FROM r JOIN ins ON ins.p = r.top AND ins.q IN {ACCEPT}
+  WHERE r.i = (SELECT count(*) FROM g WHERE g.conv_id IS NOT DISTINCT FROM r.conv_id)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) AS k FROM e) WHERE k = 1),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again AND NOT blank) AS duplicate,
+  count(*) FILTER (WHERE fee > 0) AS truncated, count(*) FILTER (WHERE before IS NOT NULL AND before || x NOT IN {LEGAL}) AS illegal FROM g GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  b.cost::BIGINT AS cost, b.audit, sha256(substr(shown, 2)) AS repaired_sha256 FROM b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
+ORACLE = _oracle()
