@@ -211,38 +211,64 @@ def test_search_brute(spark):
         assert [x[0] for x in got[q]] == [i for _, i in sorted(scored)[:10]]
 
 
-def test_search_pivot(monkeypatch):
-    """A shard's answers under any threshold equal those of scoring every document, while only few postings are walked."""
-    rng = np.random.default_rng(8)
-    texts = [" ".join(f"v{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 80)) % 4000) for _ in range(900)]
-    texts += texts[:40] * 2  # ties
+def shard_of(texts):
     own, h, c, lengths = search.hashed_words(texts)
     order = np.argsort(h, kind="stable")
     words, df = np.unique(h, return_counts=True)
     shard = search.Shard(words, df, own[order].astype(np.int32), c[order], lengths, lengths.mean())
-    assert (shard.row >= 0).any() and (shard.row < 0).any()
     idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
-    walked = [0, 0]
-    sums = shard.sums
-
-    def counted(lists, weights):
-        walked[0] += int((shard.first[lists + 1] - shard.first[lists]).sum())
-        return sums(lists, weights)
-
-    for q in range(0, len(texts), 9):
-        terms = h[own == q]
-        at = np.searchsorted(words, terms)
-        every = sums(at, idf[at]) if len(at) else np.zeros(len(texts))
-        best = np.sort(every)[::-1]
-        monkeypatch.setattr(shard, "sums", counted)
-        for least in (0.0, best[9], best[3], best[0] + 1):
-            found, scores = shard.top(terms, idf[at], 10, least)
-            want = np.flatnonzero((every >= max(least, best[9])) & (every > 0))
-            assert sorted(found) == list(want) and np.array_equal(scores, every[found])
-            walked[1] += int(df[at].sum())
-        monkeypatch.setattr(shard, "sums", sums)
-        assert not shard.weight.any()
-    assert walked[0] < 0.8 * walked[1]
+    return shard, {q: h[own == q] for q in range(len(texts))}, idf
+
+
+def plain_scores(shard, at, idf):
+    every = np.zeros(shard.docs)
+    for t, w in zip(at, idf, strict=True):
+        run = slice(shard.first[t], shard.first[t + 1])
+        every[shard.doc[run]] += w * shard.score[run]
+    return every
+
+
+def test_search_pivot(monkeypatch):
+    """A shard's answers under any threshold equal those of scoring every document, while only few postings are walked; equal texts score alike."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"v{int(x)}" for x in rng.zipf(1.3, rng.integers(0, 80)) % 4000) for _ in range(900)]
+    texts += texts[:40] * 2  # ties
+    shard, terms, idf = shard_of(texts)
+    walked, skipped = [0, 0], 0
+    for step in (1, 16):
+        monkeypatch.setattr(search, "STEP", step)
+        for q in range(0, len(texts), 9):
+            at = np.searchsorted(shard.words, terms[q])
+            every = plain_scores(shard, at, idf[at])
+            best = np.sort(every)[::-1]
+            for least in (0.0, best[9] * (1 - 1e-9), best[3] * (1 - 1e-9), best[0] + 1):
+                before = shard.walked
+                found, scores = shard.top(terms[q], idf[at], 10, least)
+                want = np.flatnonzero((every >= max(least, best[9] * (1 - 1e-9))) & (every > 0))
+                assert sorted(found) == list(want) and np.allclose(scores, every[found], rtol=1e-10)
+                of = dict(zip(found, scores, strict=True))
+                assert all(of[i] == of[j] for i, j in ((d, d + 900) for d in range(40)) if i in of and j in of)
+                walked[0] += shard.walked - before
+                walked[1] += int(idf[at].size and (shard.first[at + 1] - shard.first[at]).sum())
+                skipped += shard.walked == before and len(at) > 0
+    assert walked[0] < 0.7 * walked[1] and skipped > 0
+
+
+def test_search_walks_less_on_the_given_documents():
+    """Whole documents as queries, the hardest case: fewer postings than scoring everything, with and without a threshold to begin with."""
+    import pyarrow.parquet as pq
+
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()[:3000]]
+    shard, terms, idf = shard_of(texts)
+    for known in (False, True):
+        walked = plain = 0
+        for q in range(0, len(texts), 100):
+            at = np.searchsorted(shard.words, terms[q])
+            best = np.sort(plain_scores(shard, at, idf[at]))[::-1]
+            before = shard.walked
+            shard.top(terms[q], idf[at], 10, best[9] * (1 - 1e-9) if known else 0.0)
+            walked, plain = walked + shard.walked - before, plain + int((shard.first[at + 1] - shard.first[at]).sum())
+        assert walked < (0.85 if known else 1.0) * plain, (known, walked / plain)
 
 
 def test_search_ids_and_ties(spark):
