@@ -16,7 +16,6 @@ from quakespark.llm.ordered import running
 
 TURNS = "conv_id long, turn long, role string, text string, place string, state string"
 GRAMMAR = re.compile(r"(s?(ua)+)?\Z")
-SHA_EMPTY = hashlib.sha256(b"").hexdigest()
 
 
 def conversations(seed=3, n=60):
