@@ -67,8 +67,7 @@ def m16_cell_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m16_area_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A forecast of 50 years from polygons' counts, whose rates of all cells add up to 1 in each bin."""
     grid, held = cells(spark, sf_dir), stars(spark, sf_dir)
-    inside = P.points_in_polygons(load_catalog(spark, sf_dir).select("id", "lon", "lat"), held)
-    counts = inside.groupBy("poly").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.lit(124.0))
+    counts = P.counts_in_polygons(load_catalog(spark, sf_dir), held).withColumn("span", F.lit(124.0))
     b = grid.select("cell", F.when(F.col("south") >= -40, 1.0).otherwise(0.9).alias("b"))
     rates = P.area_forecast(P.cell_shares(grid.drop("n"), held), counts, b, 4.05, MAGNITUDES, 50.0, 1.0, by_bin=True)
     return rates.select("cell", F.col("bin").cast("long").alias("bin"), F.round("rate", 9).alias("rate"))

@@ -45,9 +45,10 @@ def _steps(low: Column, high: Column, wide: float) -> Column:
     return F.explode(F.sequence(F.floor(low / wide), F.floor(high / wide)))
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, wide: float = 1.0) -> DataFrame:
-    """(id, poly) of all polygons that hold a point; points: id, lon, lat."""
+def _places_in_polygons(places: DataFrame, polygons: DataFrame, wide: float, how: str = "inner") -> DataFrame:
+    """(lon, lat, poly) of all polygons that hold a place, or (lon, lat) of held places by ``left_semi``; places: lon, lat, each one once."""
     c = F.col
+    n = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     all_edges = edges(polygons)
     reach = all_edges.groupBy("poly").agg(F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"))
     bands = (
@@ -55,15 +56,31 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, wide: float = 1.0
         .groupBy("poly", "ty").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
     )
     tiles = bands.join(reach, "poly").withColumn("tx", _steps(c("west"), c("east"), wide)).select("tx", "ty", "poly", "edges")
-    placed = points.where("lon is not null and lat is not null").select("id", "lon", "lat", F.floor(c("lon") / wide).alias("tx"), F.floor(c("lat") / wide).alias("ty"))
+    placed = places.where("lon is not null and lat is not null").select("lon", "lat", F.floor(c("lon") / wide).alias("tx"), F.floor(c("lat") / wide).alias("ty"))
     crossed = F.filter("edges", lambda e: ((e["y1"] > c("lat")) != (e["y2"] > c("lat"))) & (c("lon") < (e["x2"] - e["x1"]) * (c("lat") - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]))
-    return placed.join(tiles, ["tx", "ty"]).where(F.size(crossed) % 2 == 1).select("id", "poly")
+    # few bytes, much work: a set number of parts, which are not put together again
+    placed, tiles = placed.repartition(n, "tx", "ty"), tiles.toDF("px", "py", "poly", "edges").repartition(n, "px", "py")
+    met = placed.join(tiles, (c("tx") == c("px")) & (c("ty") == c("py")) & (F.size(crossed) % 2 == 1), how)
+    return met.select("lon", "lat", *(["poly"] if how == "inner" else []))
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, wide: float = 1.0) -> DataFrame:
+    """(id, poly) of all polygons that hold a point; points: id, lon, lat. Points of one place are tested once."""
+    held = _places_in_polygons(points.select("lon", "lat").distinct(), polygons, wide)
+    return points.select("id", "lon", "lat").join(held, ["lon", "lat"]).select("id", "poly")
+
+
+def counts_in_polygons(points: DataFrame, polygons: DataFrame, wide: float = 1.0) -> DataFrame:
+    """(poly, n): the number of points (lon, lat) in each polygon that holds any; points are counted by place first, so no pairs of them are made."""
+    places = points.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n"))
+    held = _places_in_polygons(places.select("lon", "lat"), polygons, wide)
+    return places.join(held, ["lon", "lat"]).groupBy("poly").agg(F.sum("n").alias("n"))
 
 
-def in_any(points: DataFrame, polygons: DataFrame, name: str = "inside", **options) -> DataFrame:
-    """``points`` with a column that says whether any polygon holds them; ids are unique."""
-    found = points_in_polygons(points, polygons, **options).select("id").distinct().withColumn(name, F.lit(True))
-    return points.join(found, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+def in_any(points: DataFrame, polygons: DataFrame, name: str = "inside", wide: float = 1.0) -> DataFrame:
+    """``points`` with a column that says whether any polygon holds them. A place leaves the search at the first polygon that does."""
+    found = _places_in_polygons(points.select("lon", "lat").distinct(), polygons, wide, "left_semi").withColumn(name, F.lit(True))
+    return points.join(found, ["lon", "lat"], "left").select(*points.columns, F.coalesce(found[name], F.lit(False)).alias(name))
 
 
 def _side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:

@@ -114,3 +114,15 @@ def test_usable_faults(spark):
     assert {r["id"]: r["reason"] for r in geometry.usable_faults(df, 5.0).collect()} == {1: None, 2: "points", 3: "attribute", 4: "geometry", 5: "geometry", 6: "magnitude"}
     lon, lat = spark.range(1).select(*geometry.turned_back(F.lit(-7792364.355529149), F.lit(-3503549.843504374))).first()
     assert abs(lon + 70) < 1e-9 and abs(lat + 30) < 1e-9
+
+
+def test_points_of_one_place_are_tested_once(spark):
+    """Many points of one place make one test a polygon, in all forms of the join; unplaced ones make none."""
+    square = lambda x, w: [[(x, 0.0), (x + w, 0.0), (x + w, 1.0), (x, 1.0)]]
+    polygons = spark.createDataFrame([(k, square(0.1 * k, 1.0)) for k in range(5)], "poly long, rings array<array<struct<lon: double, lat: double>>>")
+    points = spark.createDataFrame([(i, 0.25, 0.5) for i in range(40)] + [(90, 9.0, 0.5), (91, None, 0.5)], "id long, lon double, lat double")
+    pairs = P.points_in_polygons(points, polygons)
+    assert {tuple(r) for r in pairs.collect()} == {(i, k) for i in range(40) for k in range(3)}
+    assert {tuple(r) for r in P.counts_in_polygons(points, polygons).collect()} == {(k, 40) for k in range(3)}
+    assert {r["id"] for r in P.in_any(points, polygons).where("inside").collect()} == set(range(40))
+    assert P.in_any(points, polygons).count() == 42
