@@ -84,13 +84,13 @@ def _outlines(faults: DataFrame, margin: float) -> DataFrame:
     return _fixed(held, radius=radius).select("fault", "lon0", "lat0", "sided", "corners", "lines", "slack", "radius")
 
 
-def in_buffers(points: DataFrame, faults: DataFrame, margin: float) -> DataFrame:
-    """``points`` (lon, lat) with each ``fault`` whose area lies within ``margin`` km, and the ``km`` to it (0 inside).
+def _places_in_buffers(points: DataFrame, faults: DataFrame, margin: float) -> DataFrame:
+    """(__lon, __lat, fault, km): the different places of ``points`` with each ``fault`` whose area lies within ``margin`` km.
 
     A fault's area is its trace widened by its width on both sides or, where its azimuth is known, the convex hull
     of its trace and the trace moved down the dip. Distances are taken in an azimuthal equidistant plane about the
-    trace's centre. Points meet faults in tiles of half a degree that the buffer may reach; a point is in one tile,
-    so a pair meets once. The hull's nearest line is among the lines between its corners, and a point is inside
+    trace's centre. Points of one place are measured once; places meet faults in tiles of half a degree that the buffer
+    may reach, a place is in one tile, so a pair meets once. The hull's nearest line is among the lines between its corners, and a point is inside
     where its directions to the corners leave no gap of half a turn.
     """
     c = F.col
@@ -101,8 +101,11 @@ def in_buffers(points: DataFrame, faults: DataFrame, margin: float) -> DataFrame
     turn = F.lit(int(360 / TILE))
     tiled = _outlines(faults, margin).withColumn("__row", F.explode(span(c("lat0"), reach)))
     tiled = tiled.withColumn("__col", F.explode(F.array_distinct(F.transform(span(c("lon0"), wide), lambda i: F.pmod(i, turn)))))
-    held = points.select(F.struct(*(f"`{n}`" for n in points.columns)).alias("__point"), c("lon").alias("__lon"), c("lat").alias("__lat"))
-    keyed = held.withColumns({"__row": F.floor(c("__lat") / TILE), "__col": F.pmod(F.floor(c("__lon") / TILE), turn)})
+    places = points.select(c("lon").alias("__lon"), c("lat").alias("__lat")).where("__lon is not null and __lat is not null").distinct()
+    keyed = places.withColumns({"__row": F.floor(c("__lat") / TILE), "__col": F.pmod(F.floor(c("__lon") / TILE), turn)})
+    # few bytes, much work: a set number of parts, which are not put together again
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed, tiled = (df.repartition(n, "__row", "__col") for df in (keyed, tiled))
     # no place outside the radius about the centre is within the buffer
     met = keyed.join(tiled, ["__row", "__col"]).where(haversine_km(c("__lat"), c("__lon"), c("lat0"), c("lon0")) <= c("radius"))
     x, y = _project(c("__lon"), c("__lat"), c("lon0"), c("lat0"))
@@ -113,14 +116,23 @@ def in_buffers(points: DataFrame, faults: DataFrame, margin: float) -> DataFrame
     gap = F.greatest(F.array_max(gaps), 2 * math.pi - (F.element_at("__turns", -1) - c("__turns")[0]))
     nearest = F.array_min(F.transform("lines", lambda s: _segment_km(s, c("__x"), c("__y"))))
     km = F.when(c("sided") & (gap < math.pi), 0.0).otherwise(F.greatest(nearest - c("slack"), F.lit(0.0)))
-    return _fixed(met, __km=km).where(c("__km") <= margin).select("__point.*", "fault", c("__km").alias("km"))
+    return _fixed(met, __km=km).where(c("__km") <= margin).select("__lon", "__lat", "fault", c("__km").alias("km"))
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    return points.select(F.struct(*(f"`{n}`" for n in points.columns)).alias("__point"), F.col("lon").alias("__lon"), F.col("lat").alias("__lat"))
+
+
+def in_buffers(points: DataFrame, faults: DataFrame, margin: float) -> DataFrame:
+    """``points`` (lon, lat) with each ``fault`` whose area lies within ``margin`` km, and the ``km`` to it (0 inside)."""
+    return _placed(points).join(_places_in_buffers(points, faults, margin), ["__lon", "__lat"]).select("__point.*", "fault", "km")
 
 
 def audit_events(events: DataFrame, faults: DataFrame, margin: float, cap: float, least: float) -> DataFrame:
     """Events (id, lon, lat, mag) of ``least`` or more: inside a buffer or not, and the part of the model that holds their magnitude."""
     large = events.where(F.col("mag") >= least)
-    inside = in_buffers(large, faults, margin).select("id").distinct().withColumn("in_buffer", F.lit(True))
-    audited = large.join(inside, "id", "left").withColumn("in_buffer", F.coalesce("in_buffer", F.lit(False)))
+    inside = _places_in_buffers(large, faults, margin).select("__lon", "__lat").distinct().withColumn("__in", F.lit(True))
+    audited = _placed(large).join(inside, ["__lon", "__lat"], "left").select("__point.*", F.coalesce("__in", F.lit(False)).alias("in_buffer"))
     return audited.withColumn("claimed_by", F.when((F.col("mag") >= cap) & F.col("in_buffer"), "faults").otherwise("background"))
 
 
@@ -129,7 +141,8 @@ def margin_sensitivity(cells: DataFrame, faults: DataFrame, margins: list[float]
 
     Cells meet faults once, at the widest margin; each margin then keeps the cells that are near enough.
     """
-    near = in_buffers(cells, faults, max(margins)).groupBy("cell").agg(F.min("km").alias("km"), F.first("rate").alias("rate"))
+    nearest = _places_in_buffers(cells, faults, max(margins)).groupBy("__lon", "__lat").agg(F.min("km").alias("__km"))
+    near = _placed(cells).join(nearest, ["__lon", "__lat"]).select("__point.*", F.col("__km").alias("km"))
     total = cells.agg(F.sum("rate").alias("total"))
     within = lambda m, v: F.when(F.col("km") <= m, v)
     wide = near.agg(*(e.alias(f"{n}{i}") for i, m in enumerate(margins) for n, e in (("n", F.count(within(m, F.lit(1)))), ("r", F.coalesce(F.sum(within(m, F.col("rate"))), F.lit(0.0))))))

@@ -122,3 +122,15 @@ def test_nulls_stay_null(spark):
         ME.angle_between((n, one, one), (one, one, one)),
     ).first()
     assert all(v is None for v in got)
+
+
+def test_places_meet_faults_once(spark):
+    """Events of one place are measured once, and all of them come back; cells of equal place count each."""
+    trace = [(-70.0, -30.0), (-69.9, -29.7)]
+    faults = spark.createDataFrame([(k, trace, 5.0, None) for k in range(3)], "fault long, trace array<struct<lon: double, lat: double>>, width double, azimuth double")
+    points = spark.createDataFrame([(i, i, -70.0, -30.0, 6.6, 1.0) for i in range(30)] + [(90, 90, -60.0, -30.0, 7.0, 2.0), (91, 91, None, -30.0, 7.0, 2.0)], "id long, cell long, lon double, lat double, mag double, rate double")
+    assert FA._places_in_buffers(points, faults, 1.0).count() == 3
+    assert FA.in_buffers(points, faults, 1.0).count() == 90
+    audited = FA.audit_events(points.drop("cell", "rate"), faults, 1.0, 6.5, 6.0)
+    assert audited.columns == ["id", "lon", "lat", "mag", "in_buffer", "claimed_by"] and audited.count() == 32 and audited.where("in_buffer").count() == 30
+    assert [tuple(r) for r in FA.margin_sensitivity(points, faults, [0.0]).select("n_cells", "removed").collect()] == [(30, 30.0)]
