@@ -25,18 +25,20 @@ def match_km(source_a: Column, source_b: Column, mag_a: Column, mag_b: Column, b
     return F.when(loose, F.greatest(far, F.lit(base_km + LOOSE_KM))).otherwise(far)
 
 
-def record_pairs(events: DataFrame, seconds: float, base_km: float, delta_mag: float) -> DataFrame:
-    """Pairs (a_id, b_id, km) of records that can be one event; events: id, t, mag, lon, lat, source.
+def record_pairs(events: DataFrame, seconds: float, base_km: float, delta_mag: float, others: DataFrame | None = None) -> DataFrame:
+    """Pairs (a_id, b_id, km) of records that can be one event; events: id, t, mag, lon, lat, source. With ``others``, b is one of these.
 
-    Times are cut into buckets of ``seconds``; the right side also goes to the bucket after its own, so the join is on
-    the bucket. Two magnitudes must be known to be compared; records without a time or place match nothing.
+    Times are cut into buckets of ``seconds`` and latitudes into bands as wide as the farthest match; the right side also goes to
+    the bucket after its own and to the bands beside it, so the join is on both. Two magnitudes must be known to be compared; records without a time or place match nothing.
     """
     side = lambda p: [F.col(c).alias(f"{p}_{c}") for c in ("id", "t", "mag", "lon", "lat", "source")]
     bucket, c = F.floor(F.col("t") / seconds), F.col
-    left = events.where("t is not null").select(*side("a"), bucket.alias("bucket"))
-    right = events.where("t is not null").select(*side("b"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"))
+    band = F.floor(F.col("lat") * 111.19 / max(base_km + LOOSE_KM, *(km for _, km in REACH)))
+    left = events.where("t is not null").select(*side("a"), bucket.alias("bucket"), band.alias("band"))
+    right = (events if others is None else others).where("t is not null").select(*side("b"), F.explode(F.array(bucket, bucket - 1)).alias("bucket"), band.alias("own"))
+    right = right.withColumn("band", F.explode(F.array(c("own") - 1, c("own"), c("own") + 1))).drop("own")
     return (
-        left.join(right, "bucket")
+        left.join(right, ["bucket", "band"])
         .where((c("b_t") - c("a_t")).between(0, seconds) & ((c("b_t") > c("a_t")) | (c("b_id") > c("a_id"))))
         .where(F.abs(c("a_mag") - c("b_mag")) <= delta_mag + 1e-9)
         .withColumn("km", haversine_km(c("a_lat"), c("a_lon"), c("b_lat"), c("b_lon")))
