@@ -57,7 +57,7 @@ def linked_in_time(events: DataFrame, pairs: Callable[[DataFrame, DataFrame, flo
     if ``events`` lacks some; ``links`` (a_id, b_id): further links.
     """
     c = F.col
-    held = materialise(events, "linked")
+    held = materialise(events.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "linked")  # few bytes, much work
     all_ids = held.select("id") if nodes is None else nodes.select("id")
     n = held.where("t is not null").groupBy(F.floor(c("t") / seconds).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     dense = n.agg(F.sum(c("n") * c("n")) / F.sum("n")).first()[0]
