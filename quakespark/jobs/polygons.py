@@ -21,7 +21,8 @@ MAGNITUDES = [5.0 + 0.5 * i for i in range(7)]
 
 def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c = F.col("s_suppkey"), F.col
-    place = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
+    place = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").repartition(n, "s_suppkey").select(
         k.cast("long").alias("poly"), (-76 + ((k * 7919) % 1000) / 100.0).alias("x"), (-56 + ((k * 104729) % 3800) / 100.0).alias("y"), (5 + k % 4).alias("n")
     )
     angle = lambda j: 2 * math.pi * j / c("n")

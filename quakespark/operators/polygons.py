@@ -13,11 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quakespark.functions.columns import EARTH_KM, let
 from quakespark.operators.graph import connected_components
+from quakespark.session import discard, materialise
 
 CORNER = "struct<lon: double, lat: double>"
 
@@ -104,7 +105,9 @@ def overlapping(polygons: DataFrame, others: DataFrame | None = None, wide: floa
     p, q = [c(f"p{x}") for x in ("x1", "y1", "x2", "y2")], [c(f"q{x}") for x in ("x1", "y1", "x2", "y2")]
     boxes = [F.greatest(F.least(p[k], p[k + 2]), F.least(q[k], q[k + 2])) <= F.least(F.greatest(p[k], p[k + 2]), F.greatest(q[k], q[k + 2])) for k in (0, 1)]
     parted = (_side(*p, q[0], q[1]) * _side(*p, q[2], q[3]) <= 0) & (_side(*q, p[0], p[1]) * _side(*q, p[2], p[3]) <= 0)
-    crossing = tiled(polygons, "p", "a").join(tiled(second, "q", "b"), ["tx", "ty"]).where(wanted & boxes[0] & boxes[1] & parted).select("a", "b")
+    n = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
+    left, right = (tiled(*of).repartition(n, "tx", "ty") for of in ((polygons, "p", "a"), (second, "q", "b")))
+    crossing = left.join(right, ["tx", "ty"]).where(wanted & boxes[0] & boxes[1] & parted).select("a", "b")
 
     def held(inner: DataFrame, outer: DataFrame, names: tuple[str, str]) -> DataFrame:
         first = inner.select(c("poly").alias("id"), F.get(F.get("rings", F.lit(0)), F.lit(0)).alias("at")).select("id", "at.lon", "at.lat")
@@ -116,10 +119,65 @@ def overlapping(polygons: DataFrame, others: DataFrame | None = None, wide: floa
     return crossing.unionByName(inside).distinct()
 
 
-def dissolved(polygons: DataFrame, **options) -> DataFrame:
-    """(poly, part): polygons that overlap, directly or over others, share the least ``poly`` as their part."""
-    found = connected_components(overlapping(polygons, **options), "a", "b").select(F.col("node").alias("poly"), F.col("component").alias("part"))
-    return polygons.select("poly").distinct().join(found, "poly", "left").select("poly", F.coalesce("part", "poly").alias("part"))
+#: Of each tile so many polygons meet all others first.
+HUBS = 4
+
+
+def _first_of_alike(polygons: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows with equal rings the one of the least ``poly`` (poly, rings), and a link (a, b) to it for each other one.
+
+    Equal rows overlap if they have an edge; rows without one stay as they are.
+    """
+    c = F.col
+    whole = lambda e: F.abs(e["x1"]) + F.abs(e["y1"]) + F.abs(e["x2"]) + F.abs(e["y2"]) < float("inf")
+    solid = F.coalesce(F.exists("rings", lambda r: (F.size(r) >= 3) & F.exists(ring_edges(r), whole)), F.lit(False))
+    rows = materialise(polygons.select("poly", "rings"), "rows")
+    first = rows.where(solid).groupBy("rings").agg(F.min("poly").alias("first"))
+    same = rows.where(solid).join(first, "rings").where(c("poly") != c("first")).select(c("first").alias("a"), c("poly").alias("b"))
+    out = materialise(first.select(c("first").alias("poly"), "rings").unionByName(rows.where(~solid)), "polygons"), materialise(same, "alike")
+    discard(rows)
+    return out
+
+
+def _astray(rows: DataFrame, labels: DataFrame, wide: float) -> DataFrame:
+    """(poly) of polygons that in any tile of their boxes don't have the most frequent label: of two that touch and differ in label, one at least."""
+    c = F.col
+    corners = F.flatten("rings")
+    ends = [f(F.transform(corners, lambda p: p[k])) for k in ("lon", "lat") for f in (F.array_min, F.array_max)]  # noqa: B023
+    boxed = rows.select("poly", *(e.alias(n) for e, n in zip(ends, ("west", "east", "south", "north"), strict=True))).where("west is not null and south is not null")
+    tiles = boxed.withColumn("tx", _steps(c("west"), c("east"), wide)).withColumn("ty", _steps(c("south"), c("north"), wide)).select("poly", "tx", "ty").join(labels, "poly")
+    counts = tiles.groupBy("tx", "ty", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("tx", "ty").agg(F.max(F.struct("n", "label")).alias("top")).select("tx", "ty", c("top.label").alias("top"))
+    return tiles.join(top, ["tx", "ty"]).where("label <> top").select("poly").distinct()
+
+
+def dissolved(polygons: DataFrame, wide: float = 1.0, hubs: int = HUBS) -> DataFrame:
+    """(poly, part): polygons that overlap, directly or over others, share the least ``poly`` as their part.
+
+    Not all overlapping pairs are made, since these grow with the square of the polygons in one place. Equal rows count once. Then
+    ``hubs`` polygons of each tile meet all others, which puts most of a dense place into one part. At last every polygon that in
+    some tile is not of the tile's largest part meets all that are left; of two polygons that touch and whose parts
+    differ, one at least is such, so no link is lost. Work stays quadratic where many parts share one tile.
+    """
+    c = F.col
+    rows, alike = _first_of_alike(polygons)
+    first = F.get(F.get("rings", F.lit(0)), F.lit(0))
+    placed = rows.groupBy("poly").agg(F.min(F.struct(F.floor(first["lon"] / wide).alias("x"), F.floor(first["lat"] / wide).alias("y"))).alias("tile"))
+    order = Window.partitionBy("tile").orderBy(F.xxhash64("poly"), "poly")
+    chosen = materialise(placed.withColumn("k", F.row_number().over(order)).where(c("k") <= hubs).select("poly"), "hubs")
+    met = overlapping(rows.join(chosen, "poly", "left_semi"), rows, wide).where("a <> b")
+    found = connected_components(met.unionByName(alike), "a", "b")
+    spent = labels = materialise(polygons.select("poly").distinct().join(found.withColumnRenamed("node", "poly"), "poly", "left").select("poly", F.coalesce("component", "poly").alias("label")), "parts")
+    rest = materialise(rows.join(chosen, "poly", "left_anti"), "rest")
+    astray = materialise(_astray(rest, labels, wide), "astray")
+    if not astray.isEmpty():
+        side = lambda p: labels.select(c("poly").alias(p), c("label").alias(f"{p}_label"))
+        more = overlapping(rest.join(astray, "poly", "left_semi"), rest, wide).join(side("a"), "a").join(side("b"), "b").where("a_label <> b_label")
+        merged = connected_components(more.select("a_label", "b_label").distinct(), "a_label", "b_label")
+        labels = materialise(labels.join(merged.withColumnRenamed("node", "label"), "label", "left").select("poly", F.coalesce("component", "label").alias("label")), "parts")
+        discard(spent)
+    discard(rows, alike, chosen, rest, astray)
+    return labels.select("poly", c("label").alias("part"))
 
 
 def cap_in_polygons(rates: DataFrame, polygons: DataFrame, cap: float, **options) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import struct
 
 from pyspark.sql import functions as F
@@ -37,6 +38,33 @@ def test_overlaps_and_parts(spark):
     assert {tuple(r) for r in P.overlapping(polygons, box).collect()} == {(2, 9)}
 
 
+def test_dissolving_makes_few_pairs(spark, monkeypatch):
+    rng, made, plain = random.Random(7), [], P.overlapping
+
+    def counted(*args, **options):
+        out = plain(*args, **options).cache()
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(P, "overlapping", counted)
+    dense = [(i, square(rng.uniform(0, 0.4), rng.uniform(0, 0.4), 1.0)) for i in range(150)]
+    copies = [(i, square(0.1, 5.1, 0.3)) for i in range(200, 350)]
+    parts = {r["poly"]: r["part"] for r in P.dissolved(spark.createDataFrame(dense + copies, RINGS)).collect()}
+    assert parts == {i: 0 for i in range(150)} | {i: 200 for i in range(200, 350)} and sum(made) < 3000  # all pairs: 22,350
+    # chains, rings within holes and far pairs, by few hubs, against all pairs
+    drawn = [(i, rng.uniform(0, 9), rng.uniform(0, 9), rng.choice([0.1, 0.3, 0.6])) for i in range(170)]
+    rows = [(i, square(x, y, s, (x + 0.1 * s, y + 0.1 * s, 0.8 * s) if i % 3 == 0 else None)) for i, x, y, s in drawn]
+    rows += [(500, [[(0.2, 0.2)]]), (501, [[(0.2, 0.2)]]), (502, None), (503, rows[4][1]), (503, square(30.0, 30.0, 1.0)), (504, square(30.5, 30.5, 1.0))]
+    polygons = spark.createDataFrame(rows, RINGS)
+    want = {i: i for i, _ in rows}
+    pairs = [tuple(r) for r in plain(polygons).collect()]
+    for _ in want:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    got = {r["poly"]: r["part"] for r in P.dissolved(polygons, hubs=1).collect()}
+    assert got == want and 20 < len(set(want.values())) < 170
+
+
 def test_areas_and_shares(spark):
     polygons = spark.createDataFrame([(1, square(0.5, 0.5, 1.0, (0.75, 0.75, 0.5))), (2, [[(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)]])], RINGS)
     cells = spark.createDataFrame([(x * 10 + y, float(x), float(y), x + 1.0, y + 1.0) for x in range(3) for y in range(3)], "cell long, west double, south double, east double, north double")
