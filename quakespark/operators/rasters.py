@@ -44,30 +44,42 @@ def gaussian(sigma: float, truncate: float = 4.0) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def _lines(raster: DataFrame, along: str, across: str, size: int) -> DataFrame:
-    """One row a line: ``across`` and the arrays v (0 where unknown) and k (1 where known) of its ``size`` nodes."""
-    held = raster.groupBy(across).agg(F.map_from_entries(F.collect_list(F.struct(F.col(along), F.struct("v", "k")))).alias("of"))
+#: A line is smoothed in blocks of so many nodes.
+BLOCK = 64
+
+
+def _blocks(raster: DataFrame, along: str, across: str, size: int, radius: int) -> DataFrame:
+    """One row a block of a line: ``across``, low and high (its first and last node), start, and the array ``line`` of v (0 where
+    unknown) and k (1 where known) of its nodes and of ``radius`` more on either side, from the node ``start`` on, within the line."""
+    c = F.col
+    spine = raster.select(across).distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((size - 1) // BLOCK).cast("long"))))
+    asked = F.sequence(F.floor((c(along) - radius) / BLOCK), F.floor((c(along) + radius) / BLOCK))
+    held = raster.withColumn("block", F.explode(asked)).groupBy(across, "block").agg(F.map_from_entries(F.collect_list(F.struct(F.col(along), F.struct("v", "k")))).alias("of"))
     none = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("k"))
-    return held.select(across, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("of", i), none)).alias("line"))
+    low, high = c("block") * BLOCK, F.least(c("block") * BLOCK + (BLOCK - 1), F.lit(size - 1))
+    ends = {"low": low, "high": high, "start": F.greatest(low - radius, F.lit(0)), "end": F.least(high + radius, F.lit(size - 1))}
+    each = spine.join(held, [across, "block"], "left").withColumns({n: v.cast("long") for n, v in ends.items()})
+    return each.select(across, "low", "high", "start", F.transform(F.sequence("start", "end"), lambda i: F.coalesce(F.try_element_at("of", i), none)).alias("line"))
 
 
 def _passed(raster: DataFrame, along: str, across: str, size: int, weights: list[float]) -> DataFrame:
     """Rows (i, j, v, k) smoothed along one axis; beyond the ends a line goes on with its end nodes."""
     radius = len(weights) // 2
     kernel = F.array(*map(F.lit, weights))
-    reach = lambda i: F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda o: F.greatest(F.lit(0), F.least(F.lit(size - 1), i + o)))
+    place = lambda n: (F.greatest(F.lit(0), F.least(F.lit(size - 1), n)) - F.col("start")).cast("int")
+    reach = lambda i: F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda o: place(i + o))
     total = lambda i, part: F.aggregate(F.zip_with(kernel, reach(i), lambda w, n: w * F.get("line", n)[part]), F.lit(0.0), lambda a, b: a + b)
-    lines = _lines(raster, along, across, size)
-    out = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.struct(i.cast("long").alias(along), total(i, "v").alias("v"), total(i, "k").alias("k")))
-    return lines.select(across, F.explode(out).alias("o")).select(across, "o.*")
+    blocks = _blocks(raster, along, across, size, radius)
+    out = F.transform(F.sequence("low", "high"), lambda i: F.struct(i.alias(along), total(i, "v").alias("v"), total(i, "k").alias("k")))
+    return blocks.select(across, F.explode(out).alias("o")).select(across, "o.*")
 
 
 def smoothed(raster: DataFrame, width: int, height: int, sigma: float, least: float = 1e-6, filled: float = 0.5) -> DataFrame:
     """(i, j, value): the mean of the known values under a Gaussian kernel of ``sigma`` nodes, by one pass along each axis.
 
     Both the values (0 where unknown) and the knowns are smoothed, and divided. A node stays null if less than ``least``
-    of the kernel is known, or, where it was null itself, less than ``filled``. Each pass holds one line in a row, so memory
-    and the kernel's work grow with the raster's side and not with its area.
+    of the kernel is known, or, where it was null itself, less than ``filled``. Each pass holds a block of a line, with what the
+    kernel reaches around it, in a row, so that work grows with the nodes and a row's memory is that of a block, however long a line is.
     """
     weights = gaussian(sigma)
     known = raster.select("i", "j", F.coalesce(F.when(~F.isnan("value"), F.col("value")), F.lit(0.0)).alias("v"), F.when(F.col("value").isNotNull() & ~F.isnan("value"), 1.0).otherwise(0.0).alias("k"))

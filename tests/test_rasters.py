@@ -4,6 +4,7 @@ import math
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quakespark.operators import completeness as C
 from quakespark.operators import rasters as R
@@ -54,6 +55,26 @@ def test_smoothing_equals_loops(spark):
     assert np.allclose(got, want, equal_nan=True)
 
 
+def test_smoothing_by_blocks(spark):
+    """Lines longer than a block, with whole blocks unknown or missing, against one pass over whole lines; no row holds a whole line."""
+    high, w = 3 * R.BLOCK + 5, R.gaussian(1.5)
+    radius = len(w) // 2
+    known = {(i, j): float((i * 7 + j * 13) % 29) for i in (0, 2) for j in range(high) if not R.BLOCK - 20 < j < 2 * R.BLOCK + 20 or i == 2 and j == R.BLOCK}
+    raster = spark.createDataFrame([(*k, v) for k, v in known.items()], "i long, j long, value double")
+    z = np.zeros((2, high, 3))
+    for (i, j), v in known.items():
+        z[:, j, i] = v, 1.0
+    down = sum(w[o + radius] * z[:, np.clip(np.arange(high) + o, 0, high - 1)] for o in range(-radius, radius + 1))
+    v, k = sum(w[o + radius] * down[:, :, np.clip(np.arange(3) + o, 0, 2)] for o in range(-radius, radius + 1))
+    got = {(r["i"], r["j"]): r["value"] for r in R.smoothed(raster, 3, high, 1.5).collect()}
+    assert len(got) == 3 * high
+    for (i, j), value in got.items():
+        want = v[j, i] / k[j, i] if k[j, i] > 1e-6 and ((i, j) in known or k[j, i] >= 0.5) else None
+        assert (value is None) == (want is None) and (want is None or abs(value - want) < 1e-9), (i, j)
+    known_rows = raster.select("i", "j", F.col("value").alias("v"), F.lit(1.0).alias("k"))
+    assert R._blocks(known_rows, "j", "i", high, radius).agg(F.max(F.size("line"))).first()[0] <= R.BLOCK + 2 * radius
+
+
 def test_masks_and_boxes(spark):
     raster, frame = field(spark, [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]), (0.0, 0.0, 1.0, 1.0)
     polygons = spark.createDataFrame([(1, [[(0.5, -0.5), (2.5, -0.5), (2.5, 0.5), (0.5, 0.5)]])], f"poly long, rings {RING}")
