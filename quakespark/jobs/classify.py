@@ -28,7 +28,8 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog with errors, of which some are marked as relocated, some zero and some unknown, and with planes, of which some are unknown."""
     c, k = F.col, F.col("id")
     strike, dip, rake = k * 37 % 359 + 0.5, (15 + k % 70).cast("double"), k * 53 % 340 - 169.75
-    held = load_catalog(spark, sf_dir).select(
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
+    held = load_catalog(spark, sf_dir).select("id", "lon", "lat", "depth", "yr").repartition(n, "id").select(
         "id", "lon", "lat", "depth", "yr", (k % 10 == 0).alias("relocated"), F.when((k % 10).between(1, 4), (k % 7).cast("double")).alias("depth_error"),
         F.when(k % 5 != 0, (k % 4) / 8).alias("lon_error"), F.when(k % 5 != 0, (k % 3) / 8).alias("lat_error"), strike.alias("s"), dip.alias("d"), rake.alias("r"),
     ).withColumn("depth", F.when(k % 97 != 0, c("depth")))

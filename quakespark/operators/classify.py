@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,7 @@ from quakespark.functions.mechanism import interface_like
 from quakespark.operators.catalog import inside_polygon
 from quakespark.operators.faults import nearest_on_line, side_of_line
 from quakespark.operators.grids import depth_range, nearest_node
+from quakespark.session import discard, materialise
 
 PLANES = ("strike1", "dip1", "rake1", "strike2", "dip2", "rake2")
 #: Final classes of the raw ones; those not named are unclassified.
@@ -38,13 +40,21 @@ class Limits:
 def prepared(events: DataFrame, nodes: DataFrame, limits: Limits) -> DataFrame:
     """Events with slab, slab_strike and slab_dip of the nearest node (null beyond ``node_km``), and low and high, the slab's depths in the error ellipse.
 
-    events: id, lon, lat, depth, lon_error, lat_error, and more; nodes: node, lon, lat, depth, strike, dip. Events meet nodes by tiles.
+    events: id, lon, lat, depth, lon_error, lat_error, and more; nodes: node, lon, lat, depth, strike, dip. Places meet nodes by tiles;
+    events of one place and error are measured once, and meet the result by these.
     """
     c = F.col
-    near = nearest_node(events.select("id", "lon", "lat"), nodes.select("node", "lon", "lat", "depth"), limits.node_km)
-    held = near.join(nodes.select("node", c("strike").alias("slab_strike"), c("dip").alias("slab_dip")), "node", "left").select("id", c("depth").alias("slab"), "slab_strike", "slab_dip")
-    around = depth_range(events.select("id", "lon", "lat", "lon_error", "lat_error"), nodes.select("node", "lon", "lat", "depth"), held.select("id", c("slab").alias("depth")))
-    return events.join(held, "id").join(around, "id")
+    keys = ["lon", "lat", "lon_error", "lat_error"]
+    asked = materialise(events.select(*keys).distinct().withColumn("id", F.struct(*keys)), "places")
+    spots = asked.select("lon", "lat").distinct().select(F.struct("lon", "lat").alias("id"), "lon", "lat")
+    near = nearest_node(spots, nodes.select("node", "lon", "lat", "depth"), limits.node_km)
+    found = near.join(nodes.select("node", c("strike").alias("slab_strike"), c("dip").alias("slab_dip")), "node", "left").select(c("id").alias("spot"), c("depth").alias("slab"), "slab_strike", "slab_dip")
+    held = materialise(asked.select("id", F.struct("lon", "lat").alias("spot")).join(found, "spot").drop("spot"), "slab")
+    around = depth_range(asked, nodes.select("node", "lon", "lat", "depth"), held.select("id", c("slab").alias("depth")))
+    told = materialise(held.join(around, "id").select(*(c("id")[k].alias(f"at_{k}") for k in keys), "slab", "slab_strike", "slab_dip", "low", "high"), "prepared")
+    discard(asked, held)
+    same = functools.reduce(Column.__and__, (c(k).eqNullSafe(c(f"at_{k}")) for k in keys))
+    return events.join(told, same).drop(*(f"at_{k}" for k in keys))
 
 
 def raw_class(trench: list[tuple[float, float]], arc: list[tuple[float, float]], limits: Limits) -> Column:

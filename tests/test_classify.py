@@ -37,6 +37,18 @@ def test_each_branch(spark):
     assert {got[i]["class"] for i in (1, 2, 5)} == {"intraarc"} and got[7]["class"] == "unclassified"
 
 
+def test_a_place_is_measured_once(spark, monkeypatch):
+    asked, nearest, ranges = [], C.nearest_node, C.depth_range
+    monkeypatch.setattr(C, "nearest_node", lambda events, *rest: asked.append(events.count()) or nearest(events, *rest))
+    monkeypatch.setattr(C, "depth_range", lambda events, *rest: asked.append(events.count()) or ranges(events, *rest))
+    nodes = spark.createDataFrame([(1, -74.0, -30.0, 20.0, 4.0, 20.0), (2, -74.3, -30.0, 40.0, 4.0, 20.0)], "node long, lon double, lat double, depth double, strike double, dip double")
+    rows = [(i, -74.0 if i % 2 else None, -30.0, 0.4 if i % 4 == 1 else None, 0.4 if i % 4 == 1 else None) for i in range(100)]
+    events = spark.createDataFrame(rows, "id long, lon double, lat double, lon_error double, lat_error double")
+    got = {r["id"]: (r["slab"], r["slab_dip"], r["low"], r["high"]) for r in C.prepared(events, nodes, C.Limits()).collect()}
+    want = {1: (20.0, 20.0, 20.0, 40.0), 3: (20.0, 20.0, 20.0, 20.0)}
+    assert got == {i: want.get(i % 4, (None,) * 4) for i in range(100)} and asked == [2, 3]  # places, and places with their errors
+
+
 def test_cuts(spark):
     nodes = [(0.0, 0.0, 10.0), (2.0, 2.0, 20.0), (3.0, 4.0, 40.0)]
     edges = spark.createDataFrame([(1, nodes), (2, nodes[::-1]), (3, nodes[:1])], f"edge long, nodes array<{L.NODE}>")
