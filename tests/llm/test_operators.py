@@ -271,6 +271,24 @@ def test_search_walks_less_on_the_given_documents():
         assert walked < (0.85 if known else 1.0) * plain, (known, walked / plain)
 
 
+def test_search_reads_rows_of_frequent_words_for_candidates_only():
+    """Known thresholds on the given documents: less than 0.55 of the postings are read (0.72 without rows), with the scores of plain scoring."""
+    import pyarrow.parquet as pq
+
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()[:3000]]
+    shard, terms, idf = shard_of(texts)
+    walked = plain = 0
+    for q in range(0, len(texts), 100):
+        at = np.searchsorted(shard.words, terms[q])
+        every = plain_scores(shard, at, idf[at])
+        least = np.sort(every)[-10] * (1 - 1e-9)
+        before = shard.walked
+        found, scores = shard.top(terms[q], idf[at], 10, least)
+        assert sorted(found) == list(np.flatnonzero((every >= least) & (every > 0))) and np.allclose(scores, every[found], rtol=1e-10)
+        walked, plain = walked + shard.walked - before, plain + int((shard.first[at + 1] - shard.first[at]).sum())
+    assert walked < 0.55 * plain, walked / plain
+
+
 def test_search_ids_and_ties(spark):
     """Null ids, ids beyond doubles, repeated ids and rows: ties by id, null last, each row an answer of its own."""
     big = 9007199254740993
