@@ -65,7 +65,7 @@ def _shared(body: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def j02_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.band_pairs(load_catalog(spark, sf_dir), 120.0, 600.0, 0.801).select("a_id", "b_id", F.round("km", 6).alias("km"))
+    return C.band_pairs(load_catalog(spark, sf_dir), 120.0, 600.0, 0.801, ordered=True).select("a_id", "b_id", F.round("km", 6).alias("km"))
 
 
 def j03_duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

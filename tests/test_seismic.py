@@ -105,3 +105,23 @@ def test_nearest_match_by_widening_bands(spark):
     left, right = make(80, 0), make(60, 1000)
     whole, steps = ({tuple(r) for r in C.nearest_match(left, right, 60.0, 0.3, n).collect()} for n in (1e9, 1.0))
     assert whole == steps and len(whole) == 80 and any(r[1] is None for r in whole) and any(r[1] for r in whole)
+
+
+def test_ordered_pairs_come_in_runs(spark):
+    """Ordered pairs are the same pairs; each a comes in one run, with its b in order of time and id, whatever the order of the rows."""
+    rng = random.Random(12)
+    places = [(rng.uniform(-75, -66), rng.uniform(-56, -18)) for _ in range(20)]
+    rows = [(i, None if i % 97 == 0 else float(i % 50 * 13), None if i % 89 == 0 else 5.0 + i % 7 / 5, *places[i % 20]) for i in range(600)] + [(700, 10.0, 5.0, None, -20.0), (701, 10.0, 5.0, -70.0, float("nan"))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "id long, t double, mag double, lon double, lat double").repartition(7)
+    plain = sorted(tuple(r) for r in C.band_pairs(df, 120.0, 600.0, 0.801).select("a_id", "b_id", "km").collect())
+    got = [tuple(r) for r in C.band_pairs(df, 120.0, 600.0, 0.801, ordered=True).select("a_id", "b_id", "km", "a_t", "b_t", "bucket").collect()]
+    assert sorted(r[:3] for r in got) == plain and len(plain) > 1000
+    by_hand = sorted(
+        (a[0], b[0]) for a in rows for b in rows
+        if None not in (*a, *b) and 0 <= b[1] - a[1] <= 120 and (b[1] > a[1] or b[0] > a[0]) and abs(a[2] - b[2]) <= 0.801 and km(a[3:], b[3:]) <= 600
+    )
+    assert [r[:2] for r in plain] == by_hand
+    runs = [k for i, k in enumerate(got) if not i or k[0] != got[i - 1][0] or k[5] != got[i - 1][5]]
+    assert len(runs) == len({(r[0], r[5]) for r in got})
+    assert all(y[:1] != x[:1] or y[5] != x[5] or (x[4], x[1]) < (y[4], y[1]) for x, y in zip(got, got[1:]))
