@@ -289,6 +289,15 @@ def test_search_reads_rows_of_frequent_words_for_candidates_only():
     assert walked < 0.55 * plain, walked / plain
 
 
+def test_search_rows_of_few_long_documents():
+    """Where few documents hold very many words, rows stay within a fixed multiple of the postings."""
+    shard, terms, idf = shard_of([" ".join(f"v{i * 7 % 5000}" for i in range(k, k + 4000)) for k in range(3)])
+    assert shard.rows.size <= search.DENSE * len(shard.doc)
+    every = plain_scores(shard, np.searchsorted(shard.words, terms[0]), idf[np.searchsorted(shard.words, terms[0])])
+    found, scores = shard.top(terms[0], idf[np.searchsorted(shard.words, terms[0])], 10)
+    assert sorted(found) == [0, 1, 2] and np.allclose(scores, every[found], rtol=1e-10)
+
+
 def test_search_ids_and_ties(spark):
     """Null ids, ids beyond doubles, repeated ids and rows: ties by id, null last, each row an answer of its own."""
     big = 9007199254740993
