@@ -308,6 +308,40 @@ def test_search_ids_and_ties(spark):
     assert got == {1: [50, 7, big, big], None: [7, big, big, None]}
 
 
+def test_search_index_rows_are_bounded(spark):
+    """A shard's index comes in rows of bounded size, from which its whole lists are put together again."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"v{int(x)}" for x in rng.zipf(1.2, 600) % 5000) for _ in range(400)] + [None, "", "only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "coalesce(text, '') as text", "id + 7 as place").coalesce(1)
+    rows = search.indexed(docs, 1).toArrow()
+    own, h, c, lengths = search.hashed_words([x or "" for x in texts])
+    order = np.argsort(h, kind="stable")
+    words, df = np.unique(h, return_counts=True)
+    held = [sum(x) for x in rows.column("df").to_pylist()]
+    assert len(held) > 1 and sum(held) == len(h) and max(held) <= search.PIECE + df.max()
+    (got,) = search.pieced(rows.take(np.arange(len(held))[::-1]))
+    ids = np.asarray(got["ids"])
+    assert sorted(ids) == list(range(len(texts))) and (np.asarray(got["places"]) == ids + 7).all() and (np.asarray(got["lengths"]) == lengths[ids]).all()
+    assert (np.asarray(got["words"]) == words).all() and (np.asarray(got["df"]) == df).all()
+    want = list(zip(h, own, c, strict=True))
+    assert sorted(zip(np.repeat(words, df), ids[got["doc"]], got["count"], strict=True)) == sorted(want)
+    first = np.r_[0, np.cumsum(df)]
+    assert all((np.diff(got["doc"][a:b]) > 0).all() for a, b in zip(first[:-1], first[1:], strict=True))
+
+
+def test_search_lists_as_gaps():
+    """Numbers of one, two and four bytes, and lists whose gaps add up to more than 32 bits."""
+    for most in (0, 255, 256, 65_535, 65_536, 2**31 - 1):
+        x = np.array([0, most, 1], np.int32)
+        data = search.narrow(x)
+        assert len(data) == 1 + 3 * (1 if most < 256 else 2 if most < 65_536 else 4) and (search.widen(search.pa.scalar(data, search.pa.binary())) == x).all()
+    assert len(search.widen(search.pa.scalar(search.narrow(np.zeros(0, np.int32)), search.pa.binary()))) == 0
+    doc, df = np.array([5, 2**31 - 1] * 4 + [3], np.int32), np.array([2, 2, 2, 2, 1], np.int32)
+    gap = np.diff(doc, prepend=np.int32(0))
+    gap[[0, 2, 4, 6, 8]] = doc[[0, 2, 4, 6, 8]]
+    assert (search.documents(gap, df) == doc).all()
+
+
 def test_clashing_names(spark):
     """Columns named like an operator's own pass through every stage that returns the rows of its input."""
     names = ["__row", "__key", "__toxic", "__rule", "__spans", "__doc", "key", "row", "first", "id", "bucket", "component"]
